@@ -60,6 +60,56 @@ SELECT doc_id, page, cast(line * 2 + part AS int) AS idx,
 FROM (SELECT *, %SEQ(1, case when k % 5 = 0 then 2 else 1 end)% AS part FROM fx_order_lines) a
 """
 
+# Nine of ten rows keep, wrap, break or replace the event properties.
+FIXTURES["fx_json"] = """
+SELECT event_id, user_id, event_type,
+       case event_id % 10 when 0 then left(props, length(props) - 1)
+                          when 1 then '[' || props || ', 1]'
+                          when 2 then cast(event_id AS string)
+                          when 3 then 'null'
+                          when 4 then '\ufeff' || props
+                          when 5 then '   '
+                          when 6 then '{"k": 1, "k": 2, "b": "x"}'
+                          else props end AS body
+FROM events
+"""
+
+FIXTURES["fx_measurements"] = """
+SELECT l_orderkey, l_linenumber, l_quantity AS value,
+       case when l_linenumber % 7 < 3 then 'length' when l_linenumber % 7 < 5 then 'weight' else 'temperature' end AS category,
+       case l_linenumber % 7 when 0 then 'ft' when 1 then 'cm' when 2 then 'parsec' when 3 then 'lb' when 4 then 'g'
+            when 5 then 'f' else 'k' end AS unit,
+       case when l_linenumber % 7 < 3 then 'm' when l_linenumber % 7 < 5 then 'kg' else 'c' end AS target
+FROM lineitem
+"""
+
+FIXTURES["fx_tenures"] = """
+SELECT o_orderkey, case when o_orderkey % 50 = 0 then date '2000-02-29' when o_orderkey % 97 = 0 then date '2002-01-01'
+       else cast(o_orderdate AS date) end AS start_date,
+       case when o_orderkey % 3 = 0 then date '2001-03-01' else date '2001-08-01' end AS as_of
+FROM orders
+"""
+
+FIXTURES["fx_contacts"] = """
+SELECT k, case k % 7 when 0 then 'text' when 1 then 'url' when 2 then 'email' when 3 then 'phone'
+                     when 4 then 'sms' when 5 then 'wifi' else 'vcard' end AS kind,
+       case when k % 3 = 0 then '  ' else name end AS text,
+       case when k % 4 = 0 then 'Shop' || cast(k AS string) || '.Example.com' when k % 4 = 1 then 'ftp://x.example'
+            else 'HTTP://a.example.com:80/p q?x=1' end AS url,
+       case when k % 5 = 0 then 'no-at-sign' else 'c' || cast(k AS string) || '@mail.example.com' end AS email,
+       case when k % 2 = 0 then '' else 'Order no. 5 & more' end AS email_subject, 'Line (1)' AS email_body,
+       case when k % 6 = 0 then 'call me' else '+1 (555) 0' || cast(k AS string) end AS phone,
+       case when k % 6 = 1 then '' else '555-0' || cast(k AS string) end AS sms_phone, name AS sms_message,
+       case when k % 8 = 5 then ' ' else 'net;' || name end AS wifi_ssid,
+       case when k % 2 = 0 then 'nopass' else 'WPA' end AS wifi_security,
+       case when k % 9 = 0 then '' else 'p:w' || cast(k AS string) end AS wifi_password, k % 4 = 3 AS wifi_hidden,
+       case when k % 10 = 3 then '' else name end AS vcard_name, 'Acme, Inc' AS vcard_organization, '' AS vcard_title,
+       '555 01' || cast(k AS string) AS vcard_phone,
+       case when k % 11 = 2 then 'bad@mail' else 'v@mail.example.com' end AS vcard_email,
+       '' AS vcard_website, '1 Main St; B' AS vcard_address
+FROM (SELECT c_custkey AS k, c_name AS name FROM customer) c
+"""
+
 _GENERATOR = re.compile(r"%SEQ\((.*?)\)%", re.S)
 
 
