@@ -110,6 +110,73 @@ SELECT k, case k % 7 when 0 then 'text' when 1 then 'url' when 2 then 'email' wh
 FROM (SELECT c_custkey AS k, c_name AS name FROM customer) c
 """
 
+# Statements per order: header, lines, a subtotal after line 3, a closing total and sometimes a
+# grand total. The closing total is off by 1.00 when k%7=0; line 1 is not a number when k%29=0.
+FIXTURES["fx_statement_lines"] = """
+SELECT l_orderkey AS k, 'Part ' || cast(l_partkey AS string) AS item, cast(cast(l_quantity AS int) AS string) AS qty,
+       cast(round(l_extendedprice * 100) AS bigint) AS cents,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+         l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn,
+       count(*) OVER (PARTITION BY l_orderkey) AS n
+FROM lineitem
+"""
+
+FIXTURES["fx_statement_rows"] = """
+SELECT table_id, row, a, b, case when k % 29 = 0 and row = 1 then 'n/a' when c = -1 then 'Amount'
+       else cast(cast(c / 100 AS decimal(18, 2)) AS string) end AS c
+FROM (
+  SELECT k, k AS table_id, cast(rn + case when rn > 3 then 1 else 0 end AS int) AS row, item AS a, qty AS b, cents AS c FROM fx_statement_lines
+  UNION ALL SELECT k, k, 0, case when k % 13 = 0 then 'Reference' else 'Item' end, 'Qty', -1 FROM fx_statement_lines WHERE rn = 1
+  UNION ALL SELECT k, k, 4, 'Subtotal', '', sum(cents) FROM fx_statement_lines WHERE n > 3 AND rn <= 3 GROUP BY k
+  UNION ALL SELECT k, k, cast(max(n) AS int) + 2, case when k % 3 = 0 then 'Sub  Total:' else 'TOTAL' end, '',
+         sum(cents) + case when k % 7 = 0 then 100 else 0 end FROM fx_statement_lines WHERE n > 3 AND rn > 3 GROUP BY k
+  UNION ALL SELECT k, k, cast(max(n) AS int) + 1, 'Total', '', sum(cents) + case when k % 7 = 0 then 100 else 0 end
+         FROM fx_statement_lines WHERE n <= 3 GROUP BY k
+  UNION ALL SELECT k, k, cast(max(n) AS int) + 3, 'Grand Total', '', sum(cents) FROM fx_statement_lines WHERE n > 3 AND k % 6 <> 1 GROUP BY k
+) r
+"""
+
+FIXTURES["fx_statements"] = """
+SELECT table_id, row, cast(col AS int) AS col, case col when 0 then a when 1 then b else c end AS text
+FROM (SELECT *, %SEQ(0, 2)% AS col FROM fx_statement_rows) r
+"""
+
+# Merges by table: over data (k%4=0), a total label over its empty neighbour (1), the same twice and
+# an overlapping one (2), out of bounds and malformed (3).
+FIXTURES["fx_merges"] = """
+SELECT table_id, cast(m AS int) AS merge_no,
+       case when k4 = 0 then 0 when k4 = 3 and m = 1 then 5 else last_row end AS start_row,
+       case when k4 = 0 then 0 when k4 = 3 and m = 1 then 4 when k4 = 3 then last_row + 1 else last_row end AS end_row,
+       case when k4 = 2 and m = 3 then 1 else 0 end AS start_col,
+       case when k4 = 2 and m = 3 then 1 when k4 = 2 and m = 4 then 2 else 1 end AS end_col
+FROM (SELECT table_id, table_id % 4 AS k4, last_row, %SEQ(1, case when table_id % 4 = 2 then 4 when table_id % 4 = 3 then 2 else 1 end)% AS m
+      FROM (SELECT table_id, max(row) AS last_row FROM fx_statement_rows GROUP BY table_id) t) u
+"""
+
+FIXTURES["fx_evidence"] = """
+SELECT table_id, row, col, cast(1 + floor(row / 10) AS int) AS page, text AS source_text
+FROM fx_statements WHERE text <> '' AND (table_id + row * 3 + col) % 37 <> 0
+"""
+
+FIXTURES["fx_statement_edits"] = """
+SELECT table_id, row, col, case when (table_id + row * 3 + col) % 41 = 0 then text || '0'
+       when (table_id + row * 3 + col) % 43 = 0 and col = 2 then '$' || text else text end AS text
+FROM fx_statements WHERE NOT (table_id % 31 = 0 AND row = 2)
+UNION ALL SELECT table_id, 99, 0, 'Extra' FROM fx_statements WHERE table_id % 37 = 0 AND row = 0 AND col = 0
+"""
+
+# Statement pages of ten rows: the fragments a page-wise extractor would report.
+FIXTURES["fx_fragments"] = """
+SELECT cast(floor(table_id / 20) AS bigint) AS doc_id, table_id * 10 + cast(floor(row / 4) AS bigint) AS page, table_id,
+       cast(floor(row / 4) AS bigint) AS part, cast(min(row) AS bigint) AS first_key,
+       cast(max(row) - case when table_id % 17 = 0 then 1 else 0 end AS bigint) AS last_key, count(*) AS n_rows,
+       case when table_id % 5 = 0 then 2 else 3 end AS n_cols,
+       case when max(row) % 4 = 3 then 0.95 else 0.6 end AS bottom,
+       case when table_id % 19 = 0 then 0.3 else 0.05 end AS top,
+       0.1 + case when table_id % 23 = 0 then 0.015 * floor(row / 4) else 0 end AS left_edge
+FROM fx_statement_rows GROUP BY table_id, floor(row / 4)
+"""
+
 _GENERATOR = re.compile(r"%SEQ\((.*?)\)%", re.S)
 
 

@@ -21,35 +21,45 @@ def block_of(order: Column | str, size: float = BLOCK_ROWS) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
-def running_sums(
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: dict[str, Column],
+    sums: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
     *,
     block: Column | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Add running sums per key; ``order`` must be unique inside a key."""
+    """Add running sums (0 before the first row) and running maxima (NULL before it) per key.
+
+    ``order`` must be unique inside a key; exclusive values leave out the row itself."""
     keys, order = list(keys), list(order)
+    sums, maxes = sums or {}, maxes or {}
     block = block_of(order[0]) if block is None else block
     inside = Window.partitionBy(*keys, "__block").orderBy(*order)
-    frame = inside.rowsBetween(Window.unboundedPreceding, 0)
+    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     d = df.withColumn("__block", block)
-    for name, value in sums.items():
-        d = d.withColumn(f"__v_{name}", value)
+    d = d.withColumns({f"__v_{n}": v for n, v in {**sums, **maxes}.items()})
     totals = d.groupBy(*keys, "__block").agg(
-        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums]
+        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums], *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxes]
     )
     prior = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "__block", *[F.coalesce(F.sum(f"__t_{n}").over(prior), F.lit(0)).alias(f"__c_{n}") for n in sums]
+        *keys, "__block",
+        *[F.sum(f"__t_{n}").over(prior).alias(f"__c_{n}") for n in sums],
+        *[F.max(f"__t_{n}").over(prior).alias(f"__c_{n}") for n in maxes],
     )
-    d = d.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(frame) for n in sums})
+    d = d.withColumns({
+        **{f"__r_{n}": F.sum(f"__v_{n}").over(frame) for n in sums},
+        **{f"__r_{n}": F.max(f"__v_{n}").over(frame) for n in maxes},
+    })
     d = _join(d, carry, keys)
-    for name in sums:
-        value = F.col(f"__r_{name}") + F.col(f"__c_{name}")
-        d = d.withColumn(name, value if inclusive else value - F.col(f"__v_{name}"))
+    zero = F.lit(0)
+    for n in sums:
+        d = d.withColumn(n, F.coalesce(f"__r_{n}", zero) + F.coalesce(f"__c_{n}", zero))
+    for n in maxes:
+        d = d.withColumn(n, F.greatest(f"__r_{n}", f"__c_{n}"))
     return _clean(d)
 
 
@@ -57,7 +67,7 @@ def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, block: Column | None = None
 ) -> DataFrame:
     """Dense 1-based position per key."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, block=block)
+    return running(df, keys, order, {name: F.lit(1).cast("bigint")}, block=block)
 
 
 def with_previous(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("reconciliation", "texts")
+FAMILIES = ("reconciliation", "texts", "statements")
 
 
 def _merged(attribute: str) -> dict:
