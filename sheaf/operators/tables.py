@@ -128,47 +128,56 @@ def total_label(text: Column | str) -> Column:
     )
 
 
-def find_total_rows(typed: DataFrame, merges: DataFrame) -> DataFrame:
-    """(table_id, row, label, label_col, n_targets): rows with exactly one label and a numeric target."""
-    d = _flag_subordinates(typed, merges).filter("NOT subordinate")
-    d = d.withColumn("label", F.when(F.col("num").isNull(), total_label("text")))
-    rows = d.groupBy("table_id", "row").agg(
+def _labelled(typed: DataFrame, merges: DataFrame) -> DataFrame:
+    d = _flag_subordinates(typed, merges).filter("NOT subordinate").drop("subordinate")
+    return d.withColumn("label", F.when(F.col("num").isNull(), total_label("text")))
+
+
+def _total_rows(labelled: DataFrame) -> DataFrame:
+    rows = labelled.groupBy("table_id", "row").agg(
         F.count("label").alias("labels"), F.max("label").alias("label"),
         F.max(F.when(F.col("label").isNotNull(), F.col("col"))).alias("label_col"), F.count("num").alias("n_targets"),
     )
     return rows.filter("labels = 1 AND n_targets > 0").drop("labels")
 
 
+def find_total_rows(typed: DataFrame, merges: DataFrame) -> DataFrame:
+    """(table_id, row, label, label_col, n_targets): rows with exactly one label and a numeric target."""
+    return _total_rows(_labelled(typed, merges))
+
+
 def reconcile_totals(typed: DataFrame, merges: DataFrame, headers: DataFrame) -> DataFrame:
     """One row per total target: (table_id, row, col, label, status, actual, expected, difference,
     contributors, skip_reason).
 
     Contributors are the numeric cells of the column since the preceding total row (or the header).
-    Sections come from a running count over the cells, so no pair of rows is ever joined."""
-    candidates = find_total_rows(typed, merges).select("table_id", "row", "label", "label_col")
-    d = _flag_subordinates(typed, merges).join(candidates, ["table_id", "row"], "left")
-    d = d.withColumn("opens", F.coalesce((F.col("col") == F.col("label_col")).cast("bigint"), F.lit(0).cast("bigint")))
-    d = ordered.running(
-        d, ["table_id"], ["row", "col"], {"section": F.col("opens")}, block=ordered.block_of("row", 4096),
-    ).withColumn("section", F.col("section") - F.when(F.col("label").isNotNull() & (F.col("col") >= F.col("label_col")), 1).otherwise(0))
-    used = d.filter("NOT subordinate").join(headers, "table_id")
+    Sections come from a running count over the cells, so no pair of rows is ever joined. The cells
+    are read several times and staged once."""
+    labelled = stage(_labelled(typed, merges))
+    candidates = _total_rows(labelled).select("table_id", "row", "label", "label_col")
+    d = labelled.drop("label").join(candidates, ["table_id", "row"], "left")
+    opens = F.coalesce((F.col("col") == F.col("label_col")).cast("bigint"), F.lit(0).cast("bigint"))
+    d = ordered.running(d, ["table_id"], ["row", "col"], {"section": opens}, block=ordered.block_of("row", 4096))
+    after_label = F.col("label").isNotNull() & (F.col("col") >= F.col("label_col"))
+    d = d.withColumn("section", F.col("section") - F.when(after_label, 1).otherwise(0))
+    used = d.join(headers, "table_id")
     content = used.filter(F.col("label").isNull() & (F.col("row") >= F.col("header_rows")) & ~is_blank("text"))
-    sums = content.groupBy("table_id", "col", "section").agg(
+    key = ["table_id", "col", "section"]
+    targets = used.filter("label IS NOT NULL AND num IS NOT NULL AND col <> label_col")
+    sums = content.groupBy(*key).agg(
         F.try_sum("num").alias("expected"), F.count("num").alias("contributors"),
         F.bool_or(F.col("num").isNull()).alias("contaminated"),
     )
-    targets = used.filter("label IS NOT NULL AND num IS NOT NULL AND col <> label_col").select(
-        *CELL, "label", "section", F.col("num").alias("actual")
-    )
-    t = targets.join(sums, ["table_id", "col", "section"], "left").withColumn(
-        "contributors", F.coalesce("contributors", F.lit(0).cast("bigint")))
-    ordinary = F.col("label") != "grand-total"
+    t = targets.select(*CELL, "label", "section", F.col("num").alias("actual")).join(sums, key, "left")
+    t = t.withColumn("contributors", F.coalesce("contributors", F.lit(0).cast("bigint")))
     reason = (
         F.when(F.coalesce("contaminated", F.lit(False)), "ambiguous-non-numeric-content")
         .when(F.col("contributors") < 2, "fewer-than-two-contributors")
     )
-    plain = _verdict(t.filter(ordinary), reason)
-    return plain.unionByName(_grand_totals(t.filter(~ordinary), plain, used))
+    ordinary = _verdict(t, reason)
+    checked = stage(ordinary)
+    plain = checked.filter("label <> 'grand-total'")
+    return plain.unionByName(_grand_totals(checked.filter("label = 'grand-total'"), plain, labelled))
 
 
 TOTAL_COLUMNS = [
