@@ -177,6 +177,43 @@ SELECT cast(floor(table_id / 20) AS bigint) AS doc_id, table_id * 10 + cast(floo
 FROM fx_statement_rows GROUP BY table_id, floor(row / 4)
 """
 
+FIXTURES["fx_manifest"] = """
+SELECT conv_id AS job_id, turn AS ordinal, conv_id * 1000 + turn AS page_id, conv_id AS source_id, cast(turn AS int) AS page_index,
+       cast(90 * (turn % 4) AS int) AS rotation, cast(length(text) AS bigint) AS bytes
+FROM conversations
+"""
+
+FIXTURES["fx_expressions"] = """
+SELECT conv_id AS job_id, cast(count(*) AS int) AS page_count,
+       case conv_id % 12 when 0 then '1-3,2' when 1 then '3-2' when 2 then '0' when 3 then '1,,2' when 4 then '99'
+         when 5 then ' 1 - 2 , 4 ' when 6 then 'x' when 7 then '' when 8 then '1,2-3' when 9 then '2,1' when 10 then '1,99999999999999999999' else '1,3' end AS expr
+FROM conversations GROUP BY conv_id
+"""
+
+FIXTURES["fx_catalog"] = """
+SELECT p_partkey AS item_no, '/items/' || cast(p_partkey AS string) AS href, p_name AS name, p_type AS description, p_brand AS category,
+       p_size % 5 <> 0 AS available, '/items/' || cast(p_partkey + 1 AS string) AS rel1, '/items/' || cast(p_partkey + 2 AS string) AS rel2,
+       case when p_partkey % 10 = 0 then '/items/' || cast(p_partkey AS string) else '/items/' || cast(p_partkey + 3 AS string) end AS rel3
+FROM part
+"""
+
+# Pages with head tags injected by number: duplicates, wrong canonicals, noindex, missing schema.
+FIXTURES["fx_site_pages"] = """
+SELECT page_id, 'https://site.example/p/' || cast(page_id AS string) AS page_url,
+       'c' || cast(page_id % 6 AS string) AS category,
+       case when page_id % 21 = 0 then '/p/' || cast(page_id AS string) when page_id % 22 = 0 then '/p/99999999' else '/p/' || cast(page_id - page_id % 2 AS string) end AS related,
+       replace(html, '</title>', '</title>'
+         || case when page_id % 5 = 0 then '' else '<meta name="description" content="About ' || cast(page_id - page_id % 3 AS string) || '">' end
+         || '<link rel="canonical" href="https://site.example/p/' || cast(case when page_id % 7 = 0 then page_id + 1 else page_id end AS string) || '">'
+         || '<meta property="og:url" content="https://site.example/p/' || cast(page_id AS string) || case when page_id % 8 = 0 then '/' else '' end || '">'
+         || case when page_id % 9 = 0 then '<meta name="robots" content="noindex,follow">' else '' end
+         || case when page_id % 10 = 0 then '' else '<script type="application/ld+json">{"@type":"SoftwareApplication","url":"https://site.example/p/' || cast(page_id AS string) || '"}</script>' end
+         || case when page_id % 4 = 0 then '<script type="application/ld+json">{"@type":"FAQPage","mainEntity":[{"name":"'
+             || case when page_id % 8 = 0 then 'Zebra quux?' else 'Question ' || cast(page_id AS string) || '?' end || '","acceptedAnswer":{"text":"Yes."}}]}</script>' else '' end)
+         || '<p>Question  ' || cast(page_id AS string) || '? Yes.</p>' AS html
+FROM pages
+"""
+
 _GENERATOR = re.compile(r"%SEQ\((.*?)\)%", re.S)
 
 
