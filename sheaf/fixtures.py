@@ -214,6 +214,60 @@ SELECT page_id, 'https://site.example/p/' || cast(page_id AS string) AS page_url
 FROM pages
 """
 
+FIXTURES["fx_risky_pages"] = """
+SELECT page_id, url, replace(html, '</title>', '</title>'
+    || case when page_id % 3 = 0 then '<meta name="author" content="A. N. Other">' else '' end
+    || case when page_id % 4 = 0 then '<form action="/x"><input name="q" type="text" value="v"></form>' else '' end
+    || case when page_id % 5 = 0 then '<img src="a.png"><img src="b.png">' else '' end
+    || case when page_id % 6 = 0 then '<iframe src="f' || cast(page_id AS string) || '.pdf"></iframe>' else '' end
+    || '<a href="https://out' || cast(page_id AS string) || '.example/x">x</a>'
+    || case when page_id % 7 = 0 then '<a href="http://two.example/' || cast(page_id AS string) || '">y</a><script src="z.js"></script>' else '' end) AS html
+FROM pages
+"""
+
+# Words of the statements at fixed positions, ten rows to a page; some hidden, some off the page.
+FIXTURES["fx_words"] = """
+SELECT cast(floor(table_id / 20) AS bigint) AS doc_id, table_id * 10 + cast(floor(row / 10) AS bigint) AS page, row * 3 + col AS word_no,
+       table_id, row, col, text, cast(case col when 0 then 40 when 1 then 220 else 330 end AS double)
+         + case when table_id % 47 = 0 and col = 2 then 400.0 else 0.0 end AS x,
+       cast(100 + 42 * (row % 10) AS double) AS y, cast(length(text) * 5 AS double) AS width, cast(11 AS double) AS height,
+       table_id % 9 = 0 and (table_id % 2 = 0 or row % 2 = 0) AS hidden
+FROM fx_statements WHERE text <> ''
+"""
+
+FIXTURES["fx_word_pages"] = """
+SELECT doc_id, page, cast(612 AS double) AS width, cast(792 AS double) AS height, cast(page % 3 AS int) AS images
+FROM (SELECT DISTINCT doc_id, page FROM fx_words) w
+"""
+
+FIXTURES["fx_covers"] = """
+SELECT doc_id, page, cast(cover_no AS int) AS cover_no, cast(case cover_no when 1 then 300 else 30 end AS double) AS x0,
+       cast(case cover_no when 1 then 500 else 60 end AS double) AS x1, cast(90 AS double) AS y0, cast(190 AS double) AS y1,
+       case when page % 13 = 0 then '#ffffff' else '#000000' end AS fill, page % 8 <> 0 AS after_text
+FROM (SELECT *, %SEQ(1, 2)% AS cover_no FROM fx_word_pages) p
+"""
+
+FIXTURES["fx_marks"] = """
+SELECT doc_id, 'm' || cast(m AS string) AS mark_id, cast(case m when 1 then a when 2 then a + 10 else 90 end AS int) AS start,
+       cast(case when m = 1 and doc_id % 17 = 0 then n + 5 when m = 1 then a + 20 when m = 2 then a + 35 else 100 end AS int) AS end_
+FROM (SELECT doc_id, doc_id % 50 AS a, length(text) AS n, %SEQ(1, 3)% AS m FROM documents WHERE length(text) >= 100 AND doc_id % 3 <> 1) d
+"""
+
+FIXTURES["fx_policy_docs"] = """
+SELECT doc_id, 'p' || cast(doc_id % 3 AS string) AS policy, cast(n_chars AS bigint) AS bytes, doc_id % 29 = 0 AS encrypted,
+       case when doc_id % 7 = 0 then null else doc_id % 10 = 0 end AS signed,
+       case when doc_id % 7 = 0 then null else cast(doc_id % 4 AS int) end AS active_actions,
+       cast(n_chars - doc_id % 5 + 2 AS bigint) AS candidate_bytes
+FROM documents
+"""
+
+FIXTURES["fx_policy_pages"] = """
+SELECT doc_id, case when page % 2 = 0 then w else h end AS width, case when page % 2 = 0 then h else w end AS height, page
+FROM (SELECT doc_id, page, case when doc_id % 3 = 2 then 595.0 else 612.0 end AS w,
+             case when doc_id % 5 = 0 and page = 2 then 700.0 when doc_id % 3 = 2 then 842.0 else 792.0 end AS h
+      FROM (SELECT doc_id, %SEQ(1, length(text) - length(replace(text, chr(10), '')) + 1)% AS page FROM documents) d) p
+"""
+
 _GENERATOR = re.compile(r"%SEQ\((.*?)\)%", re.S)
 
 
