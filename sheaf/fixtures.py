@@ -268,15 +268,53 @@ FROM (SELECT doc_id, page, case when doc_id % 3 = 2 then 595.0 else 612.0 end AS
       FROM (SELECT doc_id, %SEQ(1, length(text) - length(replace(text, chr(10), '')) + 1)% AS page FROM documents) d) p
 """
 
+# Positioned text: statement words, a bold title line and a page footer. Baselines drift by column
+# when table_id%11=0, so the third column leaves the line there.
+FIXTURES["fx_spans"] = """
+SELECT doc_id, page, cast(word_no + 100 AS int) AS span_no, text, x, y + case when table_id % 11 = 0 then 2.0 * col else 0.4 * (row % 2) end AS y,
+       width, height AS size, false AS bold FROM fx_words
+UNION ALL SELECT doc_id, page, 0, 'Statement', cast(40 AS double), cast(64 AS double), cast(54 AS double), cast(12 AS double), true FROM fx_word_pages
+UNION ALL SELECT doc_id, page, 1, cast(page AS string), cast(case when page % 4 = 0 then 94.5 else 100 end AS double), cast(64 AS double), cast(40 AS double), cast(12 AS double), true FROM fx_word_pages
+UNION ALL SELECT doc_id, page, 2, 'Page ' || cast(page % 10 + 1 AS string), cast(280 AS double), cast(760 AS double), cast(30 AS double), cast(9 AS double), false FROM fx_word_pages
+"""
+
+FIXTURES["fx_ocr_words"] = """
+SELECT doc_id, page, row AS line_no, word_no, text, x * 4 AS x0, (x + width) * 4 AS x1, (y - 11) * 4 AS y0, y * 4 AS y1,
+       cast(40 + (table_id * 7 + row * 13 + col * 5) % 60 AS double) AS confidence
+FROM fx_words
+"""
+
+# Closed grids around the statement rows of each page: borders at x 30, 210, 320 and 700.
+FIXTURES["fx_rules"] = """
+SELECT doc_id, page, cast(30 AS double) AS x0, cast(72 + 42 * i AS double) + case when i % 2 = 1 then 0.5 else 0.0 end AS y0, cast(700 AS double) AS x1,
+       cast(72 + 42 * i AS double) + case when i % 2 = 1 then 0.5 else 0.0 end AS y1
+FROM (SELECT doc_id, page, %SEQ(0, n)% AS i FROM (SELECT doc_id, page, max(row % 10) + 1 AS n FROM fx_words GROUP BY doc_id, page) a) b
+UNION ALL SELECT doc_id, page, x, cast(72 + 42 * i AS double), x, cast(72 + 42 * (i + 1) AS double) + 1
+FROM (SELECT doc_id, page, i, cast(case j when 0 then 30 when 1 then 210 when 2 then 320 else 700 end AS double) AS x
+      FROM (SELECT doc_id, page, i, %SEQ(0, 3)% AS j FROM (SELECT doc_id, page, %SEQ(0, n - 1)% AS i FROM (
+        SELECT doc_id, page, max(row % 10) + 1 AS n FROM fx_words GROUP BY doc_id, page) a) b) c
+      WHERE NOT (page % 6 = 0 AND j = 2 AND i % 3 = 1)) d
+"""
+
+FIXTURES["fx_doc_lines"] = """
+SELECT doc_id, cast(floor(line / 40) AS bigint) AS page, line % 40 AS pos, text, cast(20 + 20 * (line % 40) AS double) AS y
+FROM (SELECT doc_id, line, text FROM (%LINES%) l) m WHERE trim(text) <> ''
+"""
+
 _GENERATOR = re.compile(r"%SEQ\((.*?)\)%", re.S)
 
 
 def _spark_text(sql: str) -> str:
-    return _GENERATOR.sub(r"explode(sequence(\1))", sql)
+    lines = "SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (line, text) FROM documents"
+    return _GENERATOR.sub(r"explode(sequence(\1))", sql).replace("%LINES%", lines)
 
 
 def duck_text(sql: str) -> str:
-    return _GENERATOR.sub(r"unnest(generate_series(\1))", sql)
+    lines = (
+        "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, "
+        "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents"
+    )
+    return _GENERATOR.sub(r"unnest(generate_series(\1))", sql).replace("%LINES%", lines)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
@@ -303,7 +341,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for n in sorted(set(re.findall(r"\bfx_\w+", text))):
         load(spark, sf_dir, n).createOrReplaceTempView(n)
     for t in TABLES:
-        if re.search(rf"\bFROM\s+{t}\b|\bJOIN\s+{t}\b", text):
+        if re.search(rf"\bFROM\s+{t}\b|\bJOIN\s+{t}\b", text) or (t == "documents" and "%LINES%" in text):
             load(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(_spark_text(text))
 
