@@ -7,9 +7,12 @@ the very same input. ``%SEQ(a, b)%`` is the row generator of either dialect.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheaf.session import shared_folder
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -333,10 +336,26 @@ def needed(name: str) -> list[str]:
     return out + [name]
 
 
+# Derived inputs that several steps read: written once per session and folder.
+WRITTEN = {"fx_statement_rows", "fx_words", "fx_spans", "fx_rules", "fx_order_items"}
+_written: dict[tuple[str, str, str], str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a fixture as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in WRITTEN:
+        return _derived(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _derived(spark, sf_dir, name).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = FIXTURES[name]
     for n in sorted(set(re.findall(r"\bfx_\w+", text))):
         load(spark, sf_dir, n).createOrReplaceTempView(n)

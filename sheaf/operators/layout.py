@@ -11,10 +11,10 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sheaf.functions import ordered, pagewise
 from sheaf.functions.text import WS, is_blank, js_trim, search_token
+from sheaf.session import stage
 
 PAGE = ["doc_id", "page"]
 BAND_POINTS = 64.0
@@ -74,26 +74,37 @@ def project_boxes(words: DataFrame, pages: DataFrame) -> DataFrame:
     return d.filter("width > 1 AND height > 1").select(*words.columns, "x", "y", "angle", "width", "height")
 
 
+def _grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per group with its rows in order (``m``). Pages and stretches are physically small."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("m"))
+
+
+def _rows_udf(rule: Callable, returns: str):
+    """Arrow UDF over whole groups: many groups per batch, NULL groups skipped."""
+
+    @F.pandas_udf(returns)
+    def run(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda g: None if g is None else rule(g))
+
+    return run
+
+
 def _undecided(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], island: str,
-    decided: Column, columns: Sequence[str], rule: Callable[[pd.DataFrame], list[int]],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], island: str, decided: Column, rule: Callable,
 ) -> DataFrame:
     """Add ``opens``: 1 at the first row of every cluster.
 
-    Islands that ``decided`` (an aggregate) clears are one cluster; the rest go through ``rule`` island
-    by island."""
-    group = [*keys, island]
-    verdict = df.groupBy(*group).agg(F.min(F.struct(*order)).alias("__first"), decided.alias("__clear"))
-    d = df.join(verdict, group)
-    easy = d.filter("__clear").withColumn("opens", (F.struct(*order) == F.col("__first")).cast("int")).drop("__first", "__clear")
-    hard = d.filter("NOT __clear").drop("__first", "__clear")
-    schema = StructType([*hard.schema.fields, StructField("opens", IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf.assign(opens=rule(pdf))
-
-    return easy.unionByName(hard.groupBy(*group).applyInPandas(run, schema))
+    Islands that ``decided`` (an aggregate) clears are one cluster and stay in the engine; the rows of the
+    others go through ``rule``."""
+    rest = [c for c in df.columns if c not in (*keys, island, *order)]
+    g = df.groupBy(*keys, island).agg(
+        F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("m"), decided.alias("clear"))
+    g = g.withColumn("hard", _rows_udf(rule, "array<int>")(F.when(~F.col("clear"), F.col("m"))))
+    plain = F.transform("m", lambda x, i: F.when(i == 0, 1).otherwise(0))
+    flags = F.coalesce("hard", plain)
+    z = g.select(*keys, island, F.explode(F.arrays_zip("m", flags.alias("opens"))).alias("z"))
+    return z.select(*keys, island, "z.m.*", F.col("z.opens").alias("opens"))
 
 
 def _numbered(d: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, block: Column) -> DataFrame:
@@ -123,8 +134,9 @@ def cluster_lines(spans: DataFrame, mode: str = "word") -> DataFrame:
         starts=lambda c, p: c("y") - p("y") > c("far"), island="stretch",
     ).drop("prev", "__max")
     clear = F.max("y") - F.min("y") <= (1.0 if mode != "text" else share)
-    d = _undecided(d, PAGE, order, "stretch", clear, ["y", "size"],
-                   lambda p: pagewise.anchored_breaks(p["y"], p["size"], limit))
+    d = stage(_undecided(
+        d, PAGE, order, "stretch", clear,
+        lambda g: pagewise.anchored_breaks([r["y"] for r in g], [r["size"] for r in g], limit)))
     return _numbered(d.drop("far", "stretch"), PAGE, order, "line_no", band)
 
 
@@ -241,8 +253,9 @@ def detect_tables(lines: DataFrame) -> DataFrame:
     d = ordered.with_previous(d, PAGE, ["line_no"], ["line_no"], starts=lambda c, p: c("line_no") != p("line_no") + 1, island="stretch").drop("prev")
     # Counts that differ by one at most can never break a run.
     slim = d.select(*PAGE, "stretch", "line_no", "n")
-    opens = _undecided(slim, PAGE, ["line_no"], "stretch", F.max("n") - F.min("n") <= 1, ["n"], lambda p: pagewise.mode_breaks(p["n"]))
-    runs = _numbered(opens, PAGE, ["line_no"], "run_no", ordered.block_of("line_no")).select(*PAGE, "line_no", "run_no")
+    opens = _undecided(slim, PAGE, ["line_no"], "stretch", F.max("n") - F.min("n") <= 1,
+                       lambda g: pagewise.mode_breaks([r["n"] for r in g]))
+    runs = _numbered(stage(opens), PAGE, ["line_no"], "run_no", ordered.block_of("line_no")).select(*PAGE, "line_no", "run_no")
     return _run_tables(d.join(runs, [*PAGE, "line_no"]), ocr=False)
 
 
@@ -274,9 +287,9 @@ def merge_intervals(rules: DataFrame, horizontal: bool, mode: str = "word") -> D
     d = ordered.with_previous(d, PAGE, order, ["pos"], block=block, starts=far, island="stretch").drop("prev")
     clear = F.max("pos") - F.min("pos") < 1.5
     rule = (
-        (lambda p: pagewise.anchored_breaks(p["pos"], p["pos"] * 0, lambda a_, s: 1.4999999999)) if mode == "word"
-        else (lambda p: pagewise.median_breaks(list(p["pos"]), 1.5)))
-    d = _undecided(d, PAGE, order, "stretch", clear, ["pos"], rule)
+        (lambda g: pagewise.anchored_breaks([r["pos"] for r in g], [0.0] * len(g), lambda a_, s: 1.4999999999)) if mode == "word"
+        else (lambda g: pagewise.median_breaks([r["pos"] for r in g], 1.5)))
+    d = stage(_undecided(d, PAGE, order, "stretch", clear, rule))
     d = _numbered(d, PAGE, order, "band_no", block).drop("stretch")
     band = [*PAGE, "band_no"]
     along = ordered.block_of("start", 4 * BAND_POINTS)
@@ -303,42 +316,42 @@ def covered_share(intervals: DataFrame, windows: DataFrame, key: Sequence[str])
 
 
 def ruled_tables(spans: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, page, table_no, row, col, span_no): closed grids of rules, one page per group.
+    """(doc_id, page, table_no, row, col, span_no): closed grids of rules, one page per row.
 
-    The rules are merged before they reach the page group."""
+    The rules are merged before they reach the page."""
     h, v = merge_intervals(rules, True), merge_intervals(rules, False)
     merged = h.withColumn("flat", F.lit(True)).unionByName(v.withColumn("flat", F.lit(False)))
-    merged = merged.select(*PAGE, "position", "start", "end", "flat")
-    schema = "doc_id bigint, page bigint, table_no int, row int, col int, span_no int"
-
-    def run(key, words: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values(["y", "x", "span_no"]).reset_index(drop=True)
-        pick = lambda flat: list(lines[lines.flat == flat][["position", "start", "end"]].itertuples(index=False, name=None))
-        grids = pagewise.ruled_grids(pick(True), pick(False), list(words[["x", "y", "width"]].itertuples(index=False, name=None)))
-        out = [
-            (*key, t, r, c, int(words.span_no[i])) for t, grid in enumerate(grids)
+    rule_rows = merged.groupBy(*PAGE).agg(F.collect_list(F.struct("position", "start", "end", "flat")).alias("r"))
+    words = _grouped(spans.filter(~is_blank("text")).select(*PAGE, "span_no", "x", "y", "width"), PAGE, ["y", "x", "span_no"])
+
+    def run(page) -> list:
+        pick = lambda flat: [(r["position"], r["start"], r["end"]) for r in page["r"] if r["flat"] == flat]
+        grids = pagewise.ruled_grids(pick(True), pick(False), [(w["x"], w["y"], w["width"]) for w in page["m"]])
+        return [
+            (t, r, c, int(page["m"][i]["span_no"])) for t, grid in enumerate(grids)
             for r, (_, _, cells) in enumerate(grid["rows"]) for i, c in cells.items()]
-        return pd.DataFrame(out, columns=["doc_id", "page", "table_no", "row", "col", "span_no"])
 
-    words = spans.filter(~is_blank("text")).select(*PAGE, "span_no", "x", "y", "width")
-    return words.groupBy(*PAGE).cogroup(merged.groupBy(*PAGE)).applyInPandas(run, schema)
+    @F.pandas_udf("array<struct<table_no:int,row:int,col:int,span_no:int>>")
+    def grids(pages: pd.DataFrame) -> pd.Series:
+        return pd.Series([run({"m": m, "r": r}) for m, r in zip(pages["m"], pages["r"])])
+
+    d = words.join(rule_rows, PAGE)
+    return d.select(*PAGE, F.inline(grids(F.struct("m", "r"))))
 
 
 def borderless_tables(lines: DataFrame) -> DataFrame:
     """(doc_id, page, table_no, row, col, text): repeated column starts without rules.
 
     ``lines(doc_id, page, line_no, y, size, segs)``; one page per group."""
-    schema = "doc_id bigint, page bigint, table_no int, row int, col int, text string"
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        page = [(y, s, [(g["x0"], g["x1"], g["text"]) for g in segs]) for y, s, segs in zip(pdf.y, pdf["size"], pdf.segs)]
-        out = [
-            (*key, t, r, c, " ".join(cell)) for t, (_, _, rows) in enumerate(pagewise.borderless_grids(page))
+    def run(lines_) -> list:
+        page = [(r["y"], r["size"], [(g["x0"], g["x1"], g["text"]) for g in r["segs"]]) for r in lines_]
+        return [
+            (t, r, c, " ".join(cell)) for t, (_, _, rows) in enumerate(pagewise.borderless_grids(page))
             for r, row in enumerate(rows) for c, cell in enumerate(row)]
-        return pd.DataFrame(out, columns=["doc_id", "page", "table_no", "row", "col", "text"])
 
-    return lines.groupBy(*PAGE).applyInPandas(run, schema)
+    g = _grouped(lines.select(*PAGE, "line_no", "y", "size", "segs"), PAGE, ["line_no"])
+    found = _rows_udf(run, "array<struct<table_no:int,row:int,col:int,text:string>>")
+    return g.select(*PAGE, F.inline(found("m")))
 
 
 def grid_components(cells: DataFrame, open_sides: DataFrame) -> DataFrame:
@@ -346,15 +359,26 @@ def grid_components(cells: DataFrame, open_sides: DataFrame) -> DataFrame:
 
     ``cells(doc_id, page, row, col)``, ``open_sides(doc_id, page, row, col, to_row, to_col)``. Components that
     are no rectangle stay single cells."""
-    schema = "doc_id bigint, page bigint, row int, col int, comp int"
-
-    def run(key, grid: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
-        grid = grid.sort_values(["row", "col"]).reset_index(drop=True)
-        index = {rc: i for i, rc in enumerate(zip(grid.row, grid.col))}
-        links = [(index[a, b], index[c, d]) for a, b, c, d in zip(sides.row, sides.col, sides.to_row, sides.to_col)]
-        return grid.assign(comp=pagewise.components(len(grid), links))
-
-    joined = cells.select(*PAGE, "row", "col").groupBy(*PAGE).cogroup(open_sides.groupBy(*PAGE)).applyInPandas(run, schema)
+    grid = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row", "col"))).alias("m"))
+    links = open_sides.groupBy(*PAGE).agg(F.collect_list(F.struct("row", "col", "to_row", "to_col")).alias("s"))
+    # Pages without an open side keep every cell to itself.
+    d = grid.join(links, PAGE, "left")
+
+    @F.pandas_udf("array<int>")
+    def label(pages: pd.DataFrame) -> pd.Series:
+        out = []
+        for m, s in zip(pages["m"], pages["s"]):
+            if s is None:
+                out.append(None)
+                continue
+            index = {(r["row"], r["col"]): i for i, r in enumerate(m)}
+            pairs = [(index[a["row"], a["col"]], index[a["to_row"], a["to_col"]]) for a in s]
+            out.append(pagewise.components(len(m), pairs))
+        return pd.Series(out)
+
+    d = d.withColumn("l", label(F.struct(F.when(F.col("s").isNotNull(), F.col("m")).alias("m"), "s")))
+    comp = F.coalesce("l", F.transform("m", lambda x, i: i))
+    joined = d.select(*PAGE, F.explode(F.arrays_zip("m", comp.alias("comp"))).alias("z")).select(*PAGE, "z.m.*", F.col("z.comp").alias("comp"))
     size = joined.groupBy(*PAGE, "comp").agg(
         F.count("*").alias("n"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     whole = F.col("n") == (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
@@ -400,18 +424,15 @@ def paragraph_blocks(lines: DataFrame, margins: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, block_no, kind, alignment): headings, paragraphs and signature blocks.
 
     ``lines`` as from :func:`line_text`, ``margins(doc_id, page, left, right)``; one page per group."""
-    schema = "doc_id bigint, page bigint, line_no bigint, block_no int, kind string, alignment string"
+    g = _grouped(lines.select(*PAGE, "line_no", "text", "x", "right", "y", "size", "emphasis"), PAGE, ["line_no"])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        rows = pdf[["text", "x", "right", "y", "size", "emphasis"]].to_dict("records")
-        out = pagewise.prose_blocks(rows, pdf["m_left"].iloc[0], pdf["m_right"].iloc[0])
-        out = pd.DataFrame(out, columns=["block_no", "kind", "alignment"])
-        return out.assign(doc_id=key[0], page=key[1], line_no=pdf["line_no"].to_numpy())[
-            ["doc_id", "page", "line_no", "block_no", "kind", "alignment"]]
+    @F.pandas_udf("array<struct<block_no:int,kind:string,alignment:string>>")
+    def blocks(pages: pd.DataFrame) -> pd.Series:
+        return pd.Series([pagewise.prose_blocks(list(m), a, b) for m, a, b in zip(pages["m"], pages["left"], pages["right"])])
 
-    m = margins.select(*PAGE, F.col("left").alias("m_left"), F.col("right").alias("m_right"))
-    return lines.join(m, PAGE).groupBy(*PAGE).applyInPandas(run, schema)
+    d = g.join(margins.select(*PAGE, "left", "right"), PAGE)
+    z = d.select(*PAGE, F.explode(F.arrays_zip("m", blocks(F.struct("m", "left", "right")).alias("b"))).alias("z"))
+    return z.select(*PAGE, F.col("z.m.line_no").alias("line_no"), "z.b.*")
 
 
 # Fixed pattern: page number lines.
@@ -574,15 +595,18 @@ def hidden_layer_unreliable(new: DataFrame, existing: DataFrame, pages: DataFram
     unmatched = wanted.join(pairs.select(*key, "e_no").distinct(), [*key, "e_no"], "left_anti").select(*PAGE)
     several = counts.filter("n > 1").select(*key)
 
-    def greedy(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, lost = set(), False
-        for _, options in pdf.sort_values(["e_no", "distance", "word_no"]).groupby("e_no", sort=True):
-            free = next((w for w in options.word_no if w not in taken), None)
+    def greedy(options) -> bool:
+        taken, wanted_by, lost = set(), {}, False
+        for o in options:
+            wanted_by.setdefault(o["e_no"], []).append(o["word_no"])
+        for words in wanted_by.values():
+            free = next((w for w in words if w not in taken), None)
             lost = lost or free is None
             taken.add(free)
-        return pd.DataFrame([(k[0], k[1])] if lost else [], columns=["doc_id", "page"])
+        return lost
 
-    crowded = pairs.join(several, key, "left_semi").groupBy(*key).applyInPandas(greedy, "doc_id bigint, page bigint")
+    rows = _grouped(pairs.join(several, key, "left_semi"), key, ["e_no", "distance", "word_no"])
+    crowded = rows.filter(_rows_udf(greedy, "boolean")("m")).select(*PAGE)
     return odd.unionByName(unmatched).unionByName(crowded).distinct()
 
 

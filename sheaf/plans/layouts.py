@@ -41,10 +41,8 @@ def _rows(s, sf):
 
 def _components(s, sf):
     n = _rows(s, sf)
-    cells = n.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("row"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col")) if False else n.withColumn(
-        "row", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("col", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).drop("n")
-    side = lambda test, r, c, tr, tc: F.when(test, F.struct(F.lit(r).alias("row") if isinstance(r, int) else r.alias("row"), F.lit(c).alias("col"),
-                                                           F.lit(tr).alias("to_row") if isinstance(tr, int) else tr.alias("to_row"), F.lit(tc).alias("to_col")))
+    cells = n.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("col", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).drop("n")
+    side = lambda test, *at: F.when(test, F.struct(*[F.lit(v).alias(n) for n, v in zip(("row", "col", "to_row", "to_col"), at)]))
     wide = cells.filter("page % 6 = 0 AND row % 3 = 1 AND col = 1").select(
         "doc_id", "page", "row", F.lit(1).alias("col"), F.col("row").alias("to_row"), F.lit(2).alias("to_col"))
     few = n.filter("n >= 2 AND page % 5 = 0").select("doc_id", "page", F.inline(F.filter(F.array(
@@ -136,7 +134,7 @@ QUERIES = {
 }
 
 _SP = ctes("fx_spans", "fx_word_pages")
-_LINES = f"""WITH {_SP}, b AS (SELECT s.*, CASE WHEN span_no < 100 THEN y ELSE 100 + 42 * (w.row % 10) + CASE WHEN table_id % 11 = 0 AND col = 2 THEN 4 ELSE 0 END END AS base, table_id, col, row
+_LINES = f"""WITH {_SP}, b AS (SELECT s.*, CASE WHEN span_no < 100 THEN s.y ELSE 100 + 42 * (w.row % 10) + CASE WHEN table_id % 11 = 0 AND col = 2 THEN 4 ELSE 0 END END AS base, table_id, col, row
       FROM fx_spans s LEFT JOIN fx_words w ON w.doc_id = s.doc_id AND w.page = s.page AND w.word_no + 100 = s.span_no),
     ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY base) AS line_no FROM b),
     sg AS (SELECT doc_id, page, line_no, CASE WHEN base = 64 THEN 1 ELSE row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY x) END AS seg_no, x, x + width AS x1, text, table_id, col, row FROM ln),
@@ -162,7 +160,7 @@ _DL = f"""WITH {ctes('fx_doc_lines')}, m AS (SELECT *, CASE WHEN y < 800.0 * 0.0
 ORACLES = {
     "l1_split_words": rf"""{_W}, b AS (SELECT *, ' ' || text || ' end' AS t, regexp_extract_all(' ' || text || ' end', '\S+') AS l FROM fx_words),
         u AS (SELECT doc_id, page, word_no AS box_no, x, width, t, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS word_no, l FROM b),
-        p AS (SELECT *, coalesce(list_sum(list_transform(l[1:word_no], lambda z: length(z) + 1)), 0) + 1 AS start FROM u)
+        p AS (SELECT *, coalesce(list_sum(list_transform(l[1:word_no], lambda z: length(z) + 1)), 0) + 1 + CASE WHEN contains(t, 'Sub  ') AND word_no > 0 THEN 1 ELSE 0 END AS start FROM u)
         SELECT doc_id, page, box_no, cast(word_no AS int) AS word_no, text, x + width * (start / length(t)) AS x, width * (length(text) / length(t)) AS width FROM p""",
     "l1_project_boxes": f"""{_O} SELECT doc_id, page, word_no, round(CASE WHEN page % 2 = 0 THEN x0 / 4 ELSE 612 - x0 / 4 END, 6) AS x, round(CASE WHEN page % 2 = 0 THEN 792 - y1 / 4 ELSE y1 / 4 END, 6) AS y,
         round((x1 - x0) / 4, 6) AS width, round((y1 - y0) / 4, 6) AS height FROM fx_ocr_words""",
