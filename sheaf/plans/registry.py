@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("reconciliation", "texts", "statements", "pages", "risks", "layouts")
+FAMILIES = ("reconciliation", "texts", "statements", "pages", "risks", "layouts", "ingest")
 
 
 def _merged(attribute: str) -> dict:
