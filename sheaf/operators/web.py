@@ -16,17 +16,18 @@ def search_catalog(items: DataFrame, categories: DataFrame, queries: DataFrame,
     ``items(item_no, href, name, description, category, keywords ARRAY, available)``,
     ``categories(category, category_name)``, ``queries(query_no, query)``. Items and queries meet on
     a gram of at most three characters, then the full text is tested; no pair is formed otherwise."""
-    q = queries.withColumn("q", F.lower(js_trim("query"))).filter("q <> ''")
-    q = q.withColumn("gram", F.left("q", F.lit(3)))
+    asked = queries.withColumn("q", F.lower(js_trim("query"))).filter("q <> ''").select("query_no", "q")
+    # The same words are searched once however often they are asked.
+    q = asked.select("q").distinct().withColumn("gram", F.left("q", F.lit(3)))
     i = items.filter("available AND href IS NOT NULL").join(categories, "category", "left")
     text = F.lower(F.concat_ws(" ", "name", "description", "category", F.coalesce("category_name", F.lit("")), F.array_join("keywords", " ")))
     i = i.select("item_no", "href", text.alias("t"))
     starts = F.sequence(F.lit(1), F.length("t"))
     grams = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*[F.substr(F.col("t"), s, F.lit(n)) for n in (1, 2, 3)]))))
-    hits = i.select("item_no", "href", "t", F.explode(grams).alias("gram")).join(q.select("query_no", "q", "gram"), "gram")
-    hits = hits.filter(F.contains("t", "q"))
-    order = Window.partitionBy("query_no").orderBy("item_no")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_no", "rank", "item_no", "href")
+    hits = i.select("item_no", "href", "t", F.explode(grams).alias("gram")).join(q, "gram").filter(F.contains("t", "q"))
+    order = Window.partitionBy("q").orderBy("item_no")
+    top = hits.select("q", "item_no", "href").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return asked.join(top, "q").select("query_no", "rank", "item_no", "href")
 
 
 def category_members(items: DataFrame, category: Column) -> DataFrame:

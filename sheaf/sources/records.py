@@ -104,8 +104,10 @@ def sheet_base(name: Column) -> Column:
 def unique_export_names(df: DataFrame, job: str, ordinal: str, name: str) -> DataFrame:
     """df + ``export_name``, unique per job without case: in order, the first free of ``base``, ``base 2``, ….
 
-    Each base first numbers its own rows. Where a numbered name meets another base, the earlier row keeps
-    it and the later base skips that number; this repeats until nothing meets."""
+    Each base first numbers its own rows, which is final unless a name such as ``X 2`` comes in literally.
+    Then the earliest row of a family that meets an earlier row skips that number, round by round: all
+    rows before it are settled, so the result is that of one ordered walk. Names can only meet inside a
+    family (the text before its first number, up to the part no suffix can cut off)."""
     d = df.withColumn("u_base", sheet_base(F.col(name))).withColumn("u_low", F.lower("u_base"))
     d = ordered.row_numbers(d, [job, "u_low"], [ordinal], "u_rank")
     d = stage(d.select(*df.columns, "u_base", "u_low", "u_rank"))
@@ -128,7 +130,10 @@ def unique_export_names(df: DataFrame, job: str, ordinal: str, name: str) -> Dat
             n = named(j.withColumn("u_k", k)).drop("u_gaps")
         n = stage(n)
         first = n.groupBy(job, "u_lname").agg(F.min(ordinal).alias("u_first"), F.count("*").alias("u_n")).filter("u_n > 1")
-        clash = stage(n.join(first, [job, "u_lname"]).filter(F.col(ordinal) > F.col("u_first")).select(job, "u_low", "u_k").distinct())
+        met = n.join(first, [job, "u_lname"]).filter(F.col(ordinal) > F.col("u_first"))
+        family = F.left(F.regexp_replace("u_low", r" \d.*$", ""), F.lit(19))
+        clash = met.groupBy(job, family.alias("u_family")).agg(F.min_by(F.struct("u_low", "u_k"), ordinal).alias("c"))
+        clash = stage(clash.select(job, "c.*"))
         if clash.isEmpty():
             return n.select(*df.columns, F.col("u_name").alias("export_name"))
         skipped = clash if skipped is None else skipped.unionByName(clash)
