@@ -336,6 +336,16 @@ def needed(name: str) -> list[str]:
     return out + [name]
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Spread a text table that arrives in fewer splits than there are cores (one small file); a scan of
+    many splits stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Derived inputs that several steps read: written once per session and folder.
 WRITTEN = {"fx_statement_rows", "fx_words", "fx_spans", "fx_rules", "fx_order_items"}
 _written: dict[tuple[str, str, str], str] = {}
@@ -344,7 +354,8 @@ _written: dict[tuple[str, str, str], str] = {}
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a fixture as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _spread(df) if name in TEXT_TABLES else df
     if name not in WRITTEN:
         return _derived(spark, sf_dir, name)
     key = (spark.sparkContext.applicationId, sf_dir, name)
