@@ -13,8 +13,9 @@ IDENTIFIER_HEADING = (
     r"(?i)\b(?:account|acct|a/c|ecr|employee\s*(?:id|no|number|code)"
     r"|reference|ref|code|serial|sr\.?\s*no)\b"
 )
-# Fixed pattern: a complete, unambiguous quantity.
-LITERAL = r"^(?:0|[1-9]\d*|[1-9]\d{0,2}(?:,\d{3})+)(?:\.\d+)?$"
+# Fixed pattern: a complete, unambiguous quantity, plain, negative or in accounting brackets.
+_QUANTITY = r"(?:0|[1-9]\d*|[1-9]\d{0,2}(?:,\d{3})+)(?:\.\d+)?"
+LITERAL = rf"^(?:-?{_QUANTITY}|\({_QUANTITY}\))\z"
 
 
 @dataclass(frozen=True)
@@ -67,18 +68,11 @@ def numeric_literal(text: Column | str) -> Column:
     """DECIMAL(38,12) of a conservative literal: thousands groups, accounting negatives,
     at most 15 digits, no leading zeros; otherwise NULL."""
     v = js_trim(text)
-    accounting = v.rlike(r"^\(.+\)$")
-    unsigned = F.when(accounting, F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(
-        F.regexp_replace(v, "^-", "")
-    )
-    digits = F.regexp_replace(unsigned, "[,.]", "")
-    signed = F.concat(
-        F.when(accounting | v.startswith("-"), F.lit("-")).otherwise(F.lit("")),
-        F.replace(unsigned, F.lit(","), F.lit("")),
-    )
-    return F.when(
-        unsigned.rlike(LITERAL) & (F.length(digits) <= 15), signed.try_cast("decimal(38,12)")
-    )
+    # A text that fits the pattern is one number once its decoration is dropped.
+    bare = F.translate(v, "(),-", "")
+    signed = F.when(v.startswith("(") | v.startswith("-"), F.concat(F.lit("-"), bare)).otherwise(bare)
+    digits = F.length(F.replace(bare, F.lit("."), F.lit("")))
+    return F.when(v.rlike(LITERAL) & (digits <= 15), signed.try_cast("decimal(38,12)"))
 
 
 def plain_number(c: Column | str) -> Column:

@@ -52,9 +52,11 @@ def column_headings(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def conservative_cast(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Add ``num``: complete unambiguous numbers outside identifier columns; everything else stays text."""
-    d = cells.join(column_headings(cells, headers), ["table_id", "col"], "left")
-    plain = ~identifier_heading(F.coalesce("heading", F.lit("")))
-    return d.select(*cells.columns, F.when(plain, numeric_literal("text")).alias("num"))
+    # The heading is judged once per column, and only identifier columns reach the join.
+    pinned = column_headings(cells, headers).filter(identifier_heading("heading")).select(
+        "table_id", "col", F.lit(True).alias("pinned"))
+    d = cells.join(pinned, ["table_id", "col"], "left")
+    return d.select(*cells.columns, F.when(F.col("pinned").isNull(), numeric_literal("text")).alias("num"))
 
 
 def column_type_profile(typed: DataFrame, headers: DataFrame) -> DataFrame:
