@@ -93,7 +93,8 @@ def keywords(df: DataFrame, text: str, key: str, limit: int = 8) -> DataFrame:
     counts = _word_rows(df, text, [key]).groupBy(key, "word").agg(
         F.count("*").alias("count"), F.min("pos").alias("first_pos")
     )
-    totals = counts.groupBy(key).agg(F.sum("count").alias("total"))
+    # Asking for the position too keeps both branches alike, so the counting shuffle is done once.
+    totals = counts.groupBy(key).agg(F.sum("count").alias("total"), F.max("first_pos").alias("last")).filter("last >= 0").drop("last")
     # row_number under a small limit is pruned before the shuffle (window group limit).
     order = Window.partitionBy(key).orderBy(F.desc("count"), "first_pos")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
