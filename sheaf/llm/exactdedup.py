@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sheaf.llm.common import without_spaces
 from sheaf.session import stage
 
+#: Characters of a normalised text in a splitter.
+SPLITTER = 32
 PLACE = [T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("head", T.BooleanType()),
          T.StructField("sha", T.StringType())]
 
@@ -20,23 +22,29 @@ PLACE = [T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType
 def content_runs(df: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
     """Rows in content order with the run of equal normalised texts each belongs to.
 
-    Sampled splitters cut (normalised text, code points descending, id) into ranges, so a text with very many
-    copies spreads over as many tasks as its rows need. Tasks sort externally and compare each row with the one
-    before. Columns: ``row`` (a struct of ``keep``), cps, id, part, run, head (first of its run), sha.
+    Sampled splitters cut (front of the normalised text, its hash, code points descending, id) into ranges, so a
+    text with very many copies spreads over as many tasks as its rows need, and splitters stay short however long the
+    texts. Tasks sort externally, by the whole text behind front and hash, and compare each row with the one before
+    in full. Columns: ``row`` (a struct of ``keep``), cps, id, part, run, head (first of its run), sha.
 
     Of a run, the head has the most code points and then the smallest id, nulls last."""
     raw = df.select(F.struct(*keep).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"))
     if text in keep:
         raw = raw.select("row", F.col("row")[text].alias("text"), "id")
-    order = (F.col("norm"), F.col("cps").desc(), F.col("id").asc_nulls_last())
     norm, cps = without_spaces(F.col("text")).alias("norm"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("cps")
+
+    def spread(rows: DataFrame, content: Column, points: Column) -> DataFrame:
+        return rows.repartitionByRange(F.substring(content, 1, SPLITTER), F.xxhash64(content), points.desc(), F.col("id").asc_nulls_last())
+
     if text in keep:  # the row holds the text, so its normalised form is made anew behind the exchange
-        spread = raw.select("row", "id").repartitionByRange(
-            without_spaces(F.col("row")[text]), F.coalesce(F.length(F.col("row")[text]), F.lit(0)).desc(), F.col("id").asc_nulls_last())
-        spread = spread.select("row", "id", F.col("row")[text].alias("text")).select("row", "id", norm, cps)
+        inner = F.col("row")[text]
+        dealt = spread(raw.select("row", "id"), without_spaces(inner), F.coalesce(F.length(inner), F.lit(0)))
+        dealt = dealt.select("row", "id", inner.alias("text")).select("row", "id", norm, cps)
     else:
-        spread = raw.select("row", "id", norm, cps).repartitionByRange(*order)
-    sorted_rows = spread.sortWithinPartitions(*order).select("row", "cps", "id", "norm")
+        dealt = spread(raw.select("row", "id", norm, cps), F.col("norm"), F.col("cps"))
+    dealt = dealt.select("*", F.substring("norm", 1, SPLITTER).alias("front"), F.xxhash64("norm").alias("hash"))
+    order = ("front", "hash", "norm", F.col("cps").desc(), F.col("id").asc_nulls_last())
+    sorted_rows = dealt.sortWithinPartitions(*order).select("row", "cps", "id", "norm")
     schema = T.StructType([*sorted_rows.drop("norm").schema.fields, *PLACE])
 
     def run(batches):
