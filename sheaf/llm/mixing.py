@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sheaf.llm.common import row_key, word_count
 from sheaf.session import stage
 
-BLOCK_ROWS = 65536
+BLOCK_ROWS = 8192
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, passes: int = 2) -> DataFrame:
