@@ -27,6 +27,9 @@ PATTERN_RULES = (
     (".mp4^", "block"), (".css^", "block"), (".js^", "block"), ("/robots.txt|", "block"), ("/feed/|", "block"),
 )
 
+#: Tasks that share the addresses of one token.
+SALTS = 16
+
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, ascii_uppercase, ascii_lowercase)
@@ -87,10 +90,13 @@ def judge(df: DataFrame, rules: DataFrame | None = None, url: str = "url", page_
     ruled = rules.select(F.struct("rank", (-F.length("pattern")).alias("shorter"), "pattern", "shown", "verdict").alias("r"),
                          pattern_regex(F.col("pattern")).alias("regex"), rule_tokens(F.col("pattern")).alias("literals"))
     literals = ruled.select("r", "regex", F.explode_outer("literals").alias("token")).withColumn("token", F.coalesce("token", F.lit("")))
-    held = posted.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    held = posted.groupBy("token").agg(F.count("*").alias("n")).join(literals.select("token").distinct(), "token")
     index = (literals.join(held, "token", "left").groupBy("r", "regex")
              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")))
-    candidates = posted.join(index, "token").join(known.select("address", "target"), "address")
+    # a token may be in very many addresses: it is dealt to several tasks, and its few rules to each of them
+    salted = posted.withColumn("salt", F.pmod(F.xxhash64("address"), F.lit(SALTS)).cast("int"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    candidates = salted.join(index, ["token", "salt"]).join(known.select("address", "target"), "address")
     best = (candidates.where("target RLIKE regex").groupBy("address").agg(F.min("r").alias("r")))
     return pages.join(best.withColumnRenamed("address", "a"), F.coalesce("url", F.lit("")) == F.col("a"), "left").select(
         "page_id", "url", parts["host"].alias("host"), parts["path"].alias("path"), F.col("r.shown").alias("rule"),
