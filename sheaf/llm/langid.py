@@ -40,7 +40,8 @@ class Model:
             return self.word_logs[at]
         padded, spare = f"<{word}>", None
         for order in ORDERS:
-            grams = [padded[i:i + order] for i in range(len(padded) - order + 1)]
+            text = padded if order > 1 else word  # the marks of begin and end say nothing by themselves
+            grams = [text[i:i + order] for i in range(len(text) - order + 1)]
             known = [at for g in grams if (at := self.grams.get(g)) is not None]
             if known and len(known) * 2 >= len(grams):
                 return self.gram_logs[known].mean(axis=0)

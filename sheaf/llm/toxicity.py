@@ -98,7 +98,7 @@ def train(texts: list[str], labels: np.ndarray, base: float, epochs: int = 8, ba
     Every epoch each text gives the window that is most toxic under the model so far, with the text's label, and each
     clean text a random one besides; every batch also holds empty bags as clean, so that a window with little to say
     scores low. At first, toxic texts give the window around the word that speaks most for
-    toxic texts by how many texts of either kind hold it."""
+    toxic texts by how many texts of either kind hold its subwords."""
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
     docs = [np.array([words.setdefault(w, len(words)) for w in t.lower().split()], np.int64) for t in texts]
@@ -117,7 +117,7 @@ def train(texts: list[str], labels: np.ndarray, base: float, epochs: int = 8, ba
     seen_v, seen_o, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     if not len(rows) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((base + 1e-3) / (1 - base + 1e-3))), base)
-    telling = _telling(docs, labels, len(words))
+    telling = _telling(docs, labels, flat, first, counts)
 
     for epoch in range(epochs):
         if epoch == 0:
@@ -177,14 +177,22 @@ def train(texts: list[str], labels: np.ndarray, base: float, epochs: int = 8, ba
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]), base)
 
 
-def _telling(docs: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
-    """For each word, how much the texts that hold it speak for toxic ones: toxic holders times log odds."""
-    held = np.zeros((2, n))
+def _telling(docs: list[np.ndarray], labels: np.ndarray, flat: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word, how much the texts that hold one of its subwords speak for toxic ones: toxic holders times log
+    odds, of the subword for which that is most."""
+    held = np.zeros((2, BUCKETS))
     for d, y in zip(docs, labels):
-        held[y, np.unique(d)] += 1
+        own = np.unique(d)
+        n = counts[own]
+        held[y, flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] += 1
     texts = np.bincount(labels, minlength=2)
     odds = np.log((held[1] + 0.5) / (texts[1] + 1)) - np.log((held[0] + 0.5) / (texts[0] + 1))
-    return held[1] * odds
+    speaks = np.append((held[1] * odds)[flat], 0.0)
+    out = np.zeros(len(counts))
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.maximum.reduceat(speaks, first[some])
+    return out
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", train_rows: Column | None = None,
