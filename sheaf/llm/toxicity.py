@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,14 +102,17 @@ def train(texts: list[str], labels: np.ndarray, base: float, epochs: int = 8, ba
     toxic texts by how many texts of either kind hold its subwords."""
     rng = np.random.default_rng(seed)
     words: dict[str, int] = {}
-    docs = [np.array([words.setdefault(w, len(words)) for w in t.lower().split()], np.int64) for t in texts]
-    own = [subwords(w) for w in words]
-    counts = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter((b for x in own for b in x), np.int64, int(counts.sum()))
+    docs = [np.array([words.setdefault(w, len(words)) for w in t.lower().split()], np.int32) for t in texts]
+    buckets, sizes = array("i"), array("i")  # plain numbers: lists of them would take the driver's memory
+    for word in words:
+        own = subwords(word)
+        buckets.extend(own)
+        sizes.append(len(own))
+    flat, counts = np.array(buckets, np.int32), np.array(sizes, np.int64)
+    del words, buckets, sizes
     first = np.cumsum(counts) - counts
-    del own
     row_at = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
-    sequence = np.concatenate([np.empty(0, np.int64), *docs])
+    sequence = np.concatenate([np.empty(0, np.int32), *docs])
     starts, ends, rows = _window_starts(row_at)
     fresh = _fresh(sequence, row_at)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
