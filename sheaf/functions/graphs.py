@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from sheaf.session import stage
 
 
-def closure(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int = 32) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """Nodes reached from ``seeds(keys…, node)`` along ``edges(keys…, src, dst)``: (keys…, node, depth).
 
     Every round is written to the shared folder, so lineage stays short and a lost executor re-reads
-    files. A node keeps its least depth; cycles end because visited nodes are dropped."""
+    files. A node keeps its least depth; cycles end because visited nodes are dropped. Rounds go on until no new
+    node is found; a given ``max_depth`` that cuts off nodes raises instead of hiding them."""
     node = [*keys, "node"]
     frontier = stage(seeds.select(*node).distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     steps = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("__next"))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         reached = frontier.select(*node).join(steps, node).select(*keys, F.col("__next").alias("node")).distinct()
         frontier = stage(reached.join(visited.select(*node), node, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return visited
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"nodes lie deeper than {max_depth}")
         visited = visited.unionByName(frontier)
-    return visited
 
 
-def successors_outside(removed: DataFrame, nexts: DataFrame, keys: list[str], max_depth: int = 32) -> DataFrame:
+def successors_outside(removed: DataFrame, nexts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys…, node, kept): for each removed node the first kept nodes down its successor chain."""
     node = [*keys, "node"]
     gone = removed.select(*node)
     step = nexts.select(*keys, F.col("src").alias("at"), F.col("dst").alias("to"))
     pairs = stage(gone.withColumn("at", F.col("node")))
     seen, out = pairs, None
-    for _ in range(max_depth):
+    while True:
         moved = pairs.join(step, [*keys, "at"]).select(*node, F.col("to").alias("at")).distinct()
         at_gone = gone.select(*keys, F.col("node").alias("at"))
         kept = moved.join(at_gone, [*keys, "at"], "left_anti").select(*node, F.col("at").alias("kept"))
         out = stage(kept) if out is None else out.unionByName(stage(kept))
         pairs = stage(moved.join(at_gone, [*keys, "at"], "left_semi").join(seen, [*node, "at"], "left_anti"))
         if pairs.isEmpty():
-            break
+            return out.distinct()
         seen = seen.unionByName(pairs)
-    return out.distinct()

@@ -96,7 +96,7 @@ def _one(text: str, indent: int | None):
         lines = re.split("\r\n|\r|\n", text[: e.pos])
         return False, None, None, e.msg, e.pos, len(lines), len(lines[-1]) + 1
     except (ValueError, RecursionError) as e:
-        return False, None, None, str(e)[:200], None, None, None
+        return False, None, None, str(e), None, None, None
 
 
 def process(texts: pd.Series, indent: int | None) -> pd.DataFrame:

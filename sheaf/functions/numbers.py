@@ -28,13 +28,13 @@ class NumberRule:
     max_fraction_digits: int = 2
 
     def problem(self) -> str | None:
-        import re
+        import unicodedata
 
         if not 0 <= self.max_fraction_digits <= 12:
             return "fraction digits"
         if self.decimal not in (".", ",") or self.grouping not in (".", ",", "") or self.grouping == self.decimal:
             return "separators"
-        if self.currency and not re.fullmatch(r"[A-Z$€£¥₹₩₽¢]{1,3}", self.currency):
+        if self.currency and not (len(self.currency) <= 3 and all("A" <= c <= "Z" or unicodedata.category(c) == "Sc" for c in self.currency)):
             return "currency"
         return None
 
@@ -65,18 +65,18 @@ def identifier_heading(heading: Column | str) -> Column:
 
 
 def numeric_literal(text: Column | str) -> Column:
-    """DECIMAL(38,12) of a conservative literal: thousands groups, accounting negatives,
+    """DECIMAL(38,15) of a conservative literal: thousands groups, accounting negatives,
     at most 15 digits, no leading zeros; otherwise NULL."""
     v = js_trim(text)
     # A text that fits the pattern is one number once its decoration is dropped.
     bare = F.translate(v, "(),-", "")
     signed = F.when(v.startswith("(") | v.startswith("-"), F.concat(F.lit("-"), bare)).otherwise(bare)
     digits = F.length(F.replace(bare, F.lit("."), F.lit("")))
-    return F.when(v.rlike(LITERAL) & (digits <= 15), signed.try_cast("decimal(38,12)"))
+    return F.when(v.rlike(LITERAL) & (digits <= 15), signed.try_cast("decimal(38,15)"))
 
 
 def plain_number(c: Column | str) -> Column:
     """Shortest plain text of a decimal: no trailing zeros, no negative zero."""
     t = col(c).cast("string")
     t = F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")).otherwise(t)
-    return F.when(t.isin("-0", "0E-12"), F.lit("0")).otherwise(t)
+    return F.when(t.isin("-0", "0E-12", "0E-15"), F.lit("0")).otherwise(t)

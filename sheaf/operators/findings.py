@@ -56,7 +56,7 @@ def is_uri() -> Column:
     return F.coalesce(at("S") == "URI", F.lit(False))
 
 
-def reachability(objects: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFrame:
+def reachability(objects: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """objects + ``depth`` (NULL when no root leads there)."""
     seen = graphs.closure(roots, edges, ["doc_id"], max_depth)
     return objects.join(seen.select("doc_id", F.col("node").alias("obj_id"), "depth"), ["doc_id", "obj_id"], "left")
@@ -194,7 +194,7 @@ def removed_comments(objects: DataFrame, edges: DataFrame) -> DataFrame:
     seeds = objects.filter((at("Type") == "Annot") & at("Subtype").isin(*REVIEW_SUBTYPES)).select("doc_id", F.col("obj_id").alias("node"))
     follow = edges.filter("key = 'Popup'").select("doc_id", "src", "dst").unionByName(
         edges.filter("key IN ('Parent', 'IRT')").select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graphs.closure(seeds, follow, ["doc_id"], 1_000).select("doc_id", F.col("node").alias("obj_id"))
+    return graphs.closure(seeds, follow, ["doc_id"]).select("doc_id", F.col("node").alias("obj_id"))
 
 
 def removed_attachments(objects: DataFrame, edges: DataFrame) -> DataFrame:

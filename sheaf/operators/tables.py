@@ -1,6 +1,6 @@
 """Checks on extracted tables in long form.
 
-``cells(table_id, row, col, text)``; typed cells add ``num DECIMAL(38,12)`` (NULL when textual).
+``cells(table_id, row, col, text)``; typed cells add ``num DECIMAL(38,15)`` (NULL when textual).
 ``merges(table_id, merge_no, start_row, end_row, start_col, end_col)``;
 ``evidence(table_id, row, col, …)``; ``headers(table_id, header_rows)``.
 """
@@ -200,7 +200,7 @@ def _verdict(t: DataFrame, reason: Column) -> DataFrame:
 
 def _grand_totals(grand: DataFrame, plain: DataFrame, used: DataFrame) -> DataFrame:
     """Sum of all prior subtotals or all prior totals of the column, from running values."""
-    zero = F.lit(None).cast("decimal(38,12)")
+    zero = F.lit(None).cast("decimal(38,15)")
     keys = ["table_id", "col"]
     prior = plain.filter(F.col("label").isin("subtotal", "total")).select(
         *CELL, "actual", F.col("label").alias("kind"), (F.col("status") == "NOT_APPLICABLE").alias("na"),
@@ -228,7 +228,7 @@ def _grand_totals(grand: DataFrame, plain: DataFrame, used: DataFrame) -> DataFr
         | (F.col("filled") - F.col("last_filled") > 1)
     )
     s = s.withColumns({
-        "label": F.lit("grand-total"), "contributors": F.col("n") - F.col("n_na"), "expected": F.col("total").cast("decimal(38,12)"),
+        "label": F.lit("grand-total"), "contributors": F.col("n") - F.col("n_na"), "expected": F.col("total").cast("decimal(38,15)"),
     })
     reason = F.when(ambiguous, "ambiguous-grand-total-structure").when(F.col("contributors") < 2, "fewer-than-two-contributors")
     return _verdict(s, reason)

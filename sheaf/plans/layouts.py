@@ -79,7 +79,7 @@ def _candidates(s, sf):
 
 
 def _route(s, sf):
-    c = load(s, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.expr("left(text, cast(turn * 7 % 40 AS int))").alias("text"))
+    c = load(s, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
     return l.route_pages(c)
 
 
@@ -205,7 +205,7 @@ ORACLES = {
         count(DISTINCT CASE WHEN k > 0 THEN line_no END) AS lines FROM a GROUP BY ALL) SELECT *, confidence >= 65 AND words >= 12 AND lines >= 3 AS strong FROM b""",
     "l16_best_candidate": f"{_W} {_FOLD('least((page * 7 + {t} * 13) % 120, 100) * ((page * 3 + {t} * 29) % 100)::DOUBLE / 100', 1)}",
     "l16_best_by_words": f"{_W} {_FOLD('((page * 7 + {t} * 13) % 120)::DOUBLE', 0)}",
-    "l17_route_pages": r"""WITH i AS (SELECT conv_id AS doc_id, turn AS page, left(text, turn * 7 % 40) AS t FROM conversations), c AS (SELECT doc_id, page, length(regexp_replace(t, '\s', '', 'g')) AS characters, length(trim(t, chr(32) || chr(10))) AS table_characters FROM i)
+    "l17_route_pages": r"""WITH i AS (SELECT conv_id AS doc_id, turn AS page, text AS t FROM conversations), c AS (SELECT doc_id, page, length(regexp_replace(t, '\s', '', 'g')) AS characters, length(trim(t, chr(32) || chr(10))) AS table_characters FROM i)
         SELECT *, CASE WHEN characters < 25 THEN 'ocr' ELSE 'native' END AS route, CASE WHEN table_characters >= 25 THEN 'native' WHEN table_characters > 0 THEN 'native-then-ocr' ELSE 'ocr' END AS table_route FROM c""",
     "l18_dedupe_text_layer": f"""{_LAYER} SELECT doc_id, page, word_no FROM nw WHERE (doc_id, page, word_no) NOT IN (SELECT (doc_id, page, word_no) FROM pr WHERE NOT (hidden AND (doc_id, page) IN (SELECT (doc_id, page) FROM un)))""",
     "l18_hidden_layer_unreliable": f"{_LAYER} SELECT * FROM un",

@@ -119,7 +119,7 @@ QUERIES = {
     "p2_parse_ranges": _ranges,
     "p2_every_page_groups": lambda s, sf: m.every_page_groups(load(s, sf, "fx_expressions"), "page_count").select(
         "job_id", F.inline("groups")).select("job_id", "group_no", "start", "end", "label"),
-    "p3_compact_pages": lambda s, sf: m.compact_pages(load(s, sf, "events").filter("event_type <> 'view'"), "user_id", "event_id"),
+    "p3_compact_pages": lambda s, sf: m.compact_pages(load(s, sf, "events"), "user_id", "event_id"),
     "p4_concat_manifests": lambda s, sf: m.concat_manifests(_inputs(s, sf))[0],
     "p4_concat_guard": lambda s, sf: m.concat_manifests(_inputs(s, sf))[1],
     "p5_split_manifest": lambda s, sf: m.split_totals(m.split_manifest(_man(s, sf), _groups(s, sf))),
@@ -169,7 +169,7 @@ ORACLES = {
     "p2_parse_ranges": f"""WITH {_TOK} SELECT job_id, error2 AS error, cast(CASE WHEN error2 = '' THEN (SELECT count(*) FROM err WHERE err.job_id = job.job_id) ELSE -1 END AS int) AS n,
         CASE WHEN error2 = '' THEN (SELECT string_agg({_LABEL}, ';' ORDER BY i) FROM (SELECT s AS a, e AS b, i, job_id FROM err) x WHERE x.job_id = job.job_id) ELSE '' END AS labels FROM job""",
     "p2_every_page_groups": f"""WITH {_E} SELECT job_id, cast(p AS int) AS group_no, p AS start, p AS "end", cast(p AS varchar) AS label FROM (SELECT job_id, unnest(generate_series(1, page_count)) AS p FROM fx_expressions)""",
-    "p3_compact_pages": f"""WITH i AS (SELECT DISTINCT user_id, event_id FROM events WHERE event_type <> 'view'), g AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM i),
+    "p3_compact_pages": f"""WITH i AS (SELECT DISTINCT user_id, event_id FROM events), g AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM i),
         r AS (SELECT user_id, min(event_id) AS a, max(event_id) AS b FROM g GROUP BY user_id, g) SELECT user_id, a AS start, b AS "end", {_LABEL} AS label FROM r""",
     "p4_concat_manifests": f"""WITH {_M} SELECT source_id % 20 AS job_id, row_number() OVER (PARTITION BY source_id % 20 ORDER BY source_id, page_index) - 1 AS ordinal, source_id AS source_no, source_id, page_index FROM fx_manifest""",
     "p4_concat_guard": f"""WITH {_M} SELECT source_id % 20 AS job_id, count(DISTINCT source_id) AS sources, count(*) AS pages, cast(sum(bytes) AS bigint) AS bytes,

@@ -98,7 +98,7 @@ QUERIES = {
 
 _NUMBER = r"""CASE WHEN regexp_matches(coalesce(h.text, ''), '(?i)\b(account|acct|a/c|ecr|employee\s*(id|no|number|code)|reference|ref|code|serial|sr\.?\s*no)\b') THEN NULL
    WHEN regexp_full_match(regexp_replace(trim(c.text), '^-', ''), '(0|[1-9][0-9]*|[1-9][0-9]{0,2}(,[0-9]{3})+)(\.[0-9]+)?')
-    AND length(regexp_replace(trim(c.text), '[-,.]', '', 'g')) <= 15 THEN try_cast(replace(trim(c.text), ',', '') AS decimal(38,12)) END"""
+    AND length(regexp_replace(trim(c.text), '[-,.]', '', 'g')) <= 15 THEN try_cast(replace(trim(c.text), ',', '') AS decimal(38,15)) END"""
 _PLAIN = lambda c: f"""CASE WHEN {c} IS NULL THEN '' ELSE regexp_replace(regexp_replace(cast({c} AS varchar), '0+$', ''), '\\.$', '') END"""
 _STAGES = {
     "typed": f"""SELECT c.*, {_NUMBER} AS num FROM fx_statements c LEFT JOIN fx_statements h ON h.table_id = c.table_id AND h.row = 0 AND h.col = c.col""",
