@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,8 @@ BUCKETS, DIMENSIONS = 1 << 18, 12
 NGRAMS = (3, 4, 5)
 WINDOW, STRIDE = 8, 4
 THRESHOLD = 0.3
+#: Windows judged at once in training.
+WINDOWS_AT_ONCE = 1 << 15
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -93,7 +96,22 @@ def _windows(values: np.ndarray, row_at: np.ndarray, bias: float) -> tuple[np.nd
     return sums[filled, 0] / sums[filled, 1] + bias, rows[filled]
 
 
-def train(texts: list[str], labels: np.ndarray, base: float, epochs: int = 8, batch: int = 256, rate: float = 0.5, seed: int = 7) -> Model:
+def _differences(sums: np.ndarray, sequence: np.ndarray, fresh: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mean of what the fresh words of each window speak, less the bias; -inf for a window that says nothing new. A
+    bounded run of windows at a time, since the numbers of all words at once would take the driver's memory."""
+    out = np.empty(len(starts))
+    for at in range(0, len(starts), WINDOWS_AT_ONCE):
+        low, high = starts[at], ends[at:at + WINDOWS_AT_ONCE].max()
+        new = fresh[low:high]
+        spoken = np.column_stack((sums[sequence[low:high]], new))
+        spoken[~new, 0] = 0
+        total = np.concatenate((np.zeros((1, 3)), np.cumsum(spoken, axis=0)))
+        spread = total[ends[at:at + WINDOWS_AT_ONCE] - low] - total[starts[at:at + WINDOWS_AT_ONCE] - low]
+        out[at:at + WINDOWS_AT_ONCE] = np.where((spread[:, 1] > 0) & (spread[:, 2] > 0), spread[:, 0] / np.maximum(spread[:, 1], 1), -np.inf)
+    return out
+
+
+def train(texts: Iterable[str], labels: np.ndarray, base: float, epochs: int = 8, batch: int = 256, rate: float = 0.5, seed: int = 7) -> Model:
     """Fit vectors, softmax weights and biases together by Adagrad on cross-entropy.
 
     Every epoch each text gives the window that is most toxic under the model so far, with the text's label, and each
@@ -121,26 +139,23 @@ def train(texts: list[str], labels: np.ndarray, base: float, epochs: int = 8, ba
     seen_v, seen_o, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     if not len(rows) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((base + 1e-3) / (1 - base + 1e-3))), base)
-    telling = _telling(docs, labels, flat, first, counts)
+    telling, texts_read, some = _telling(docs, labels, flat, first, counts), len(docs), np.flatnonzero(counts)
+    del docs
 
     for epoch in range(epochs):
         if epoch == 0:
-            held = telling[sequence]
+            held = np.append(telling[sequence], -np.inf)
+            logits = np.maximum.reduceat(held, np.stack((starts, ends), axis=1).ravel())[::2]
+            del held
         else:
             per = (vectors @ (out[1] - out[0]))[flat]
-            ends_of = np.concatenate((np.zeros(1), np.cumsum(per, dtype=np.float64)))
-            sums = np.stack((ends_of[first + counts] - ends_of[first], counts), axis=1)
-            spoken = sums[sequence]
-            spoken[~fresh, 0] = 0
-            total = np.concatenate((np.zeros((1, 3)), np.cumsum(np.column_stack((spoken, fresh)), axis=0)))
-            spread = total[ends] - total[starts]
-            logits = np.where((spread[:, 1] > 0) & (spread[:, 2] > 0), spread[:, 0] / np.maximum(spread[:, 1], 1), -np.inf)
-        if epoch == 0:
-            logits = np.maximum.reduceat(np.append(held, -np.inf), np.stack((starts, ends), axis=1).ravel())[::2]
+            sums = np.stack((np.zeros(len(counts)), counts), axis=1)
+            sums[some, 0] = np.add.reduceat(per, first[some], dtype=np.float64)
+            logits = _differences(sums, sequence, fresh, starts, ends)
         best = np.lexsort((-logits, rows))
         best = best[np.concatenate(([True], rows[best][1:] != rows[best][:-1]))]
-        group = np.searchsorted(rows, np.arange(len(docs)))
-        size = np.bincount(rows, minlength=len(docs))
+        group = np.searchsorted(rows, np.arange(texts_read))
+        size = np.bincount(rows, minlength=texts_read)
         clean = np.flatnonzero((labels == 0) & (size > 0))
         chosen = np.concatenate((best, group[clean] + (rng.random(len(clean)) * size[clean]).astype(np.int64)))
         rng.shuffle(chosen)
@@ -214,11 +229,11 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows_a_class) for y in (0, 1)]
     sample = (df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= max_chars)
               .join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").dropDuplicates(["id"]).select("id", "text", "y"))
-    rows = sorted(sample.collect())
+    rows = sample.toArrow().sort_by("id")
     base = sizes.get(1, 0) / total if total else 0.0
-    if not rows:
+    if not len(rows):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((base + 1e-3) / (1 - base + 1e-3))), base)
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), base)
+    return train((t.as_py() for t in rows.column("text")), rows.column("y").to_numpy().astype(np.int64), base)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
