@@ -31,7 +31,7 @@ TAILS = frozenset(".,;:!?|")
 #: Words kept per process, in Arrow memory; others are encoded again in the slices in which they occur.
 WORDS_KEPT = 800_000
 #: Bytes of text encoded at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         stop = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
         yield at, texts.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch took shouldn't stay with them
 
 
 class Encoder:
