@@ -316,42 +316,66 @@ def covered_share(intervals: DataFrame, windows: DataFrame, key: Sequence[str])
 
 
 def ruled_tables(spans: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, page, table_no, row, col, span_no): closed grids of rules, one page per row.
-
-    The rules are merged before they reach the page."""
-    h, v = merge_intervals(rules, True), merge_intervals(rules, False)
-    merged = h.withColumn("flat", F.lit(True)).unionByName(v.withColumn("flat", F.lit(False)))
-    rule_rows = merged.groupBy(*PAGE).agg(F.collect_list(F.struct("position", "start", "end", "flat")).alias("r"))
-    words = _grouped(spans.filter(~is_blank("text")).select(*PAGE, "span_no", "x", "y", "width"), PAGE, ["y", "x", "span_no"])
-
-    def run(page) -> list:
-        pick = lambda flat: [(r["position"], r["start"], r["end"]) for r in page["r"] if r["flat"] == flat]
-        grids = pagewise.ruled_grids(pick(True), pick(False), [(w["x"], w["y"], w["width"]) for w in page["m"]])
-        return [
-            (t, r, c, int(page["m"][i]["span_no"])) for t, grid in enumerate(grids)
-            for r, (_, _, cells) in enumerate(grid["rows"]) for i, c in cells.items()]
-
-    @F.pandas_udf("array<struct<table_no:int,row:int,col:int,span_no:int>>")
-    def grids(pages: pd.DataFrame) -> pd.Series:
-        return pd.Series([run({"m": m, "r": r}) for m, r in zip(pages["m"], pages["r"])])
-
-    d = words.join(rule_rows, PAGE)
-    return d.select(*PAGE, F.inline(grids(F.struct("m", "r"))))
+    """(doc_id, page, table_no, row, col, span_no): closed grids of rules.
+
+    Rules are merged, and two that follow each other with the same ends bound a band. Its column edges are the
+    upright rules that cross it, and spans join the bands they lie in. What reaches Python is a page's bands with
+    the columns of their spans, to stack them."""
+    ends = [*PAGE, "l3", "r3"]
+    h = merge_intervals(rules, True).withColumns({"l3": F.floor(F.col("start") / 3 + 0.5), "r3": F.floor(F.col("end") / 3 + 0.5)})
+    group = Window.partitionBy(*ends)
+    bands = h.select(
+        *ends, F.min("position").over(group).alias("first"), F.col("position").alias("top"), F.col("start").alias("left"), F.col("end").alias("right"),
+        F.lead("position").over(group.orderBy("position", "start", "end")).alias("bottom")).filter("bottom - top >= 6")
+    upright = merge_intervals(rules, False).groupBy(*PAGE).agg(F.collect_list(F.struct("position", "start", "end")).alias("v"))
+    crossing = F.filter("v", lambda r: (
+        (r["start"] <= F.col("top") + 2) & (r["end"] >= F.col("bottom") - 2)
+        & (r["position"] >= F.col("left") - 2) & (r["position"] <= F.col("right") + 2)))
+    bands = bands.join(upright, PAGE).withColumn("e", F.array_sort(F.transform(crossing, lambda r: r["position"]))).drop("v")
+    n = F.size("e")
+    closed = n.between(3, 21) & (F.abs(F.get("e", F.lit(0)) - F.col("left")) <= 3) & (F.abs(F.get("e", n - 1) - F.col("right")) <= 3)
+    bands = bands.withColumn("edges", F.when(closed, F.col("e"))).drop("e")
+
+    words = spans.filter(~is_blank("text")).select(
+        F.col("doc_id").alias("d"), F.col("page").alias("p"), "span_no", "x", "y", (F.col("x") + F.col("width")).alias("x1"))
+    within = (
+        (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & F.col("edges").isNotNull()
+        & (F.col("y") > F.col("top")) & (F.col("y") <= F.col("bottom") + 1) & (F.col("x") >= F.col("left") - 1) & (F.col("x1") <= F.col("right") + 2))
+    at = F.size(F.filter("edges", lambda e: e - 1 <= F.col("x"))) - 1
+    inside = (at >= 0) & (F.col("x1") <= F.get("edges", at + 1) + 2)  # no edge follows the last: null
+    placed = F.when(F.col("span_no").isNotNull(), F.struct("span_no", F.when(inside, at).otherwise(-1).alias("col")))
+    rows = bands.join(words, within, "left").groupBy(*ends, "first", "top", "bottom", "edges").agg(F.collect_list(placed).alias("cells"))
+    pages = _grouped(rows, PAGE, ["first", "l3", "r3", "top"])
+
+    def stack(page) -> list:
+        grids = pagewise.stacked_bands(
+            ((b["l3"], b["r3"]), b["top"], b["bottom"], b["edges"], [(c["span_no"], c["col"]) for c in b["cells"]]) for b in page)
+        return [(t, r, int(c), int(n)) for t, grid in enumerate(grids) for r, cells in enumerate(grid) for n, c in cells.items()]
+
+    found = _rows_udf(stack, "array<struct<table_no:int,row:int,col:int,span_no:int>>")
+    return pages.select(*PAGE, F.inline(found("m")))
 
 
 def borderless_tables(lines: DataFrame) -> DataFrame:
     """(doc_id, page, table_no, row, col, text): repeated column starts without rules.
 
-    ``lines(doc_id, page, line_no, y, size, segs)``; one page per group."""
+    ``lines(doc_id, page, line_no, y, size, segs)``. A gap over four sizes cuts a page into stretches; only stretches
+    of three lines or more with at least two segments somewhere reach Python, one per group."""
+    w = Window.partitionBy(*PAGE).orderBy("line_no")
+    d = lines.select(*PAGE, "line_no", "y", "size", "segs").withColumn("far", F.col("y") - F.lag("y").over(w) > F.col("size") * 4)
+    d = d.withColumn("stretch", F.count(F.when(F.col("far"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("far")
+    g = _grouped(d, [*PAGE, "stretch"], ["line_no"]).filter((F.size("m") >= 3) & F.exists("m", lambda r: F.size(r["segs"]) >= 2))
+
     def run(lines_) -> list:
-        page = [(r["y"], r["size"], [(g["x0"], g["x1"], g["text"]) for g in r["segs"]]) for r in lines_]
+        stretch = [(r["y"], r["size"], [(s["x0"], s["x1"], s["text"]) for s in r["segs"]]) for r in lines_]
         return [
-            (t, r, c, " ".join(cell)) for t, (_, _, rows) in enumerate(pagewise.borderless_grids(page))
+            (t, r, c, " ".join(cell)) for t, rows in enumerate(pagewise.column_runs(stretch))
             for r, row in enumerate(rows) for c, cell in enumerate(row)]
 
-    g = _grouped(lines.select(*PAGE, "line_no", "y", "size", "segs"), PAGE, ["line_no"])
-    found = _rows_udf(run, "array<struct<table_no:int,row:int,col:int,text:string>>")
-    return g.select(*PAGE, F.inline(found("m")))
+    found = _rows_udf(run, "array<struct<t:int,row:int,col:int,text:string>>")
+    cells = g.select(*PAGE, "stretch", F.inline(found("m")))
+    number = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("stretch", "t")) - 1
+    return cells.select(*PAGE, number.alias("table_no"), "row", "col", "text")
 
 
 def grid_components(cells: DataFrame, open_sides: DataFrame) -> DataFrame:
@@ -420,19 +444,55 @@ def assign_words_to_grid(words: DataFrame, edges: DataFrame, tolerance: float =
     return cells, counts
 
 
-def paragraph_blocks(lines: DataFrame, margins: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, block_no, kind, alignment): headings, paragraphs and signature blocks.
+# Fixed pattern: bullets, numbered and lettered list items.
+LIST_START = rf"(?i)^(?:[•-]{WS}|\(?\d{{1,3}}[.)]{WS}|\(?[a-zivx]{{1,5}}[.)]{WS})"
 
-    ``lines`` as from :func:`line_text`, ``margins(doc_id, page, left, right)``; one page per group."""
-    g = _grouped(lines.select(*PAGE, "line_no", "text", "x", "right", "y", "size", "emphasis"), PAGE, ["line_no"])
 
-    @F.pandas_udf("array<struct<block_no:int,kind:string,alignment:string>>")
-    def blocks(pages: pd.DataFrame) -> pd.Series:
-        return pd.Series([pagewise.prose_blocks(list(m), a, b) for m, a, b in zip(pages["m"], pages["left"], pages["right"])])
+def paragraph_blocks(lines: DataFrame, margins: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, block_no, kind, alignment): headings, paragraphs and signature blocks.
 
-    d = g.join(margins.select(*PAGE, "left", "right"), PAGE)
-    z = d.select(*PAGE, F.explode(F.arrays_zip("m", blocks(F.struct("m", "left", "right")).alias("b"))).alias("z"))
-    return z.select(*PAGE, F.col("z.m.line_no").alias("line_no"), "z.b.*")
+    ``lines`` as from :func:`line_text`, ``margins(doc_id, page, left, right)``. What a line and its neighbours tell
+    are window columns; only the block's pitch, which depends on the lines before, is a state step in Python."""
+    page = Window.partitionBy(*PAGE)
+    seq = page.orderBy("line_no")
+    d = lines.select(*PAGE, "line_no", "text", "x", "right", "y", "size", "emphasis").join(
+        margins.select(*PAGE, F.col("left").alias("edge"), (F.col("right") - F.col("left")).alias("room")), PAGE)
+    sizes = F.array_sort(F.collect_list("size").over(page))
+    d = d.withColumns({
+        "body": F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), "wide": F.col("right") - F.col("x"),
+        "up": F.lag(F.struct("text", "x", "size", (F.col("right") - F.col("x")).alias("wide"))).over(seq),
+        "gap": F.col("y") - F.lag("y").over(seq), "ahead": F.lead("y").over(seq) - F.col("y"), "next_x": F.lead("x").over(seq)})
+    body, room, x, up, gap = (F.col(c) for c in ("body", "room", "x", "up", "gap"))
+
+    strong, short = F.col("emphasis") > 0.6, F.col("wide") < room * 0.68
+    middle = F.abs((x + F.col("right") - F.col("edge") * 2 - room) / 2) < body
+    aside = short & (x > F.col("edge") + room * 0.52)
+    d = d.withColumns({
+        "kind": F.when(aside, "signature").when(strong, "heading").otherwise("paragraph"),
+        "alignment": F.when(aside, "right").when(short & (strong | (F.length("text") < 48)) & middle, "center").otherwise("left")})
+    half = F.when((gap > body * 0.7) & (gap < body * 3), F.floor(gap * 2 + 0.5) / 2)
+    d = d.withColumn("half", half).withColumn("votes", F.count("half").over(Window.partitionBy(*PAGE, "half")))
+    usual = F.min(F.when(F.col("half").isNotNull(), F.struct((-F.col("votes")).alias("v"), "half"))).over(page)["half"]
+
+    prose = F.col("kind") == "paragraph"
+    indent = prose & (x - F.col("edge") > body * 1.3) & (x - up["x"] > body * 1.3)
+    ended = prose & (up["wide"] < room * 0.75) & up["text"].rlike(r"[.!?:]\z")
+    near = lambda other, distance: (F.abs(x - other) < body) & (distance < body * 1.5)
+    address = short & (F.coalesce(near(F.col("next_x"), F.col("ahead")), F.lit(False)) | ((up["wide"] < room * 0.68) & near(up["x"], gap)))
+    turn = (F.lag(F.struct("kind", "alignment")).over(seq) != F.struct("kind", "alignment"))
+    resized = F.abs(F.col("size") - up["size"]) > body * 0.15
+    signs = (up.isNull(), turn, indent, ended, address, resized, F.col("kind") == "signature", F.col("text").rlike(LIST_START))
+    ahead = F.when((F.col("ahead") > F.col("size") * 0.8) & (F.col("ahead") < F.col("size") * 2.7), F.col("ahead"))
+    d = d.select(
+        *PAGE, "line_no", "kind", "alignment", F.coalesce("gap", F.lit(0.0)).alias("gap"), F.exists(F.array(*signs), lambda s: F.coalesce(s, F.lit(False))).alias("opens"),
+        F.coalesce(ahead, F.least(F.coalesce(usual, body * 1.2), F.col("size") * 1.2)).alias("pitch"), (body * 1.7).alias("least"))
+
+    def blocks(m) -> list[int]:
+        return pagewise.pitch_blocks([r["gap"] for r in m], [r["opens"] for r in m], [r["pitch"] for r in m], m[0]["least"])
+
+    g = _grouped(d, PAGE, ["line_no"])
+    z = g.select(*PAGE, F.explode(F.arrays_zip("m", _rows_udf(blocks, "array<int>")("m").alias("b"))).alias("z"))
+    return z.select(*PAGE, F.col("z.m.line_no").alias("line_no"), F.col("z.b").alias("block_no"), "z.m.kind", "z.m.alignment")
 
 
 # Fixed pattern: page number lines.

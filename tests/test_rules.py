@@ -126,10 +126,65 @@ def test_titles(spark):
     assert title([line(1, "Prices", 200.0)]) == []
 
 
-def test_prose_blocks():
-    text = lambda t, y, x=50.0, right=540.0, e=0.0, s=10.0: {"text": t, "x": x, "right": right, "y": y, "size": s, "emphasis": e}
-    lines = [text("Heading", 50, right=120.0, e=1.0), text("Body starts here and runs", 70), text("on to the next line", 82), text("Signed by", 140, x=400.0, right=480.0)]
-    assert [(b, k) for b, k, _ in pagewise.prose_blocks(lines, 50.0, 550.0)] == [(0, "heading"), (1, "paragraph"), (1, "paragraph"), (2, "signature")]
+def _blocks(spark, lines):
+    rows = [(1, 1, i, *line) for i, line in enumerate(lines)]
+    d = spark.createDataFrame(rows, "doc_id int, page int, line_no int, text string, x double, right double, y double, size double, emphasis double")
+    margins = d.select("doc_id", "page").distinct().withColumns({"left": F.lit(50.0), "right": F.lit(550.0)})
+    return [(r.block_no, r.kind, r.alignment) for r in layout.paragraph_blocks(d, margins).orderBy("line_no").collect()]
+
+
+def test_paragraph_blocks(spark):
+    line = lambda t, y, x=50.0, right=540.0, e=0.0, s=10.0: (t, x, right, float(y), s, e)
+    prose = [line("Heading", 50, right=120.0, e=1.0), line("Body starts here and runs", 70), line("on to the next line", 82), line("Signed by", 140, x=400.0, right=480.0)]
+    assert _blocks(spark, prose) == [(0, "heading", "left"), (1, "paragraph", "left"), (1, "paragraph", "left"), (2, "signature", "right")]
+    bullets = [line("Things to bring are listed", 50), line("•\u00a0salt", 62), line("and pepper with it", 74), line("iv) oil", 86), line("A wide gap follows here", 130)]
+    assert [b for b, _, _ in _blocks(spark, bullets)] == [0, 1, 1, 2, 3]
+    # A block's pitch follows its own lines: 20 points are usual in the first block and a break in the second.
+    paced = [line("one", 50), line("two", 70), line("three", 90), line("• four", 102), line("five", 112), line("six", 122), line("seven", 142)]
+    assert [b for b, _, _ in _blocks(spark, paced)] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_borderless_tables(spark):
+    line = lambda i, y, *segs: (1, 1, i, float(y), 10.0, [(float(x), x + 30.0, t) for x, t in segs])
+    schema = "doc_id int, page int, line_no int, y double, size double, segs array<struct<x0:double,x1:double,text:string>>"
+    rows = [line(i, 12 * i, (40, f"k{i}"), (150, f"{i}"), (300, "v")) for i in range(4)]
+    rows.insert(2, line(9, 18, (150, "more")))
+    rows = [(*r[:2], i, 12.0 * i, *r[4:]) for i, r in enumerate(rows)] + [line(5 + i, 200 + 12 * i, (40, "k"), (150, f"{i}")) for i in range(3)]
+    got = {(r.table_no, r.row, r.col): r.text for r in layout.borderless_tables(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 12 + 6 and got[0, 1, 1] == "1 more" and got[1, 2, 1] == "2"
+    assert layout.borderless_tables(spark.createDataFrame(rows[:2], schema)).collect() == []
+
+
+def test_ruled_tables(spark):
+    rules = [(1, 1, 30.0, y, 210.0, y) for y in (50.0, 70.0, 90.0, 110.0)] + [(1, 1, x, 50.0, x, 110.0) for x in (30.0, 120.0, 210.0)]
+    spans = [(1, 1, i, "w", x, y, w, 10.0) for i, (x, y, w) in enumerate([(32, 60, 20), (122, 60, 20), (32, 80, 20), (122, 80, 20), (32, 100, 120), (122, 100, 20)])]
+    spans = [(*s[:4], *map(float, s[4:])) for s in spans]
+    r = spark.createDataFrame(rules, "doc_id int, page int, x0 double, y0 double, x1 double, y1 double")
+    d = spark.createDataFrame(spans, "doc_id int, page int, span_no int, text string, x double, y double, width double, size double")
+    got = sorted((x.table_no, x.row, x.col, x.span_no) for x in layout.ruled_tables(d, r).collect())
+    assert got == [(0, 0, 0, 0), (0, 0, 1, 1), (0, 1, 0, 2), (0, 1, 1, 3)]  # a span across an edge closes the table
+
+
+def test_json_of_any_depth():
+    deep = "[" * 60_000 + '{"a": 1.50}' + "]" * 60_000
+    out = jsontext.process(pd.Series([deep, deep[:-1], '{"a":' * 2_000 + "x" + "}" * 2_000, "[" * 50_000 + "1 2"]), None)
+    assert list(out.ok) == [True, False, False, False]
+    assert out.output[0] == deep.replace(" ", "").replace("1.50", "1.5") and out.position[1] == len(deep) - 1
+
+
+def test_extractor_keeps_types(spark):
+    from sheaf.sources import extract
+
+    def rows(text):
+        if text == "bad":
+            yield {"n": 1}
+            raise ValueError("no")
+        yield {"n": None if text == "null" else "word" if text == "type" else 2**60 + 1}
+
+    extract.register_extractor("typed", rows, "n bigint")
+    d = spark.createDataFrame([(1, "x"), (2, "null"), (3, "bad"), (4, "type")], "doc int, body string").coalesce(1)
+    got = {r.doc: (r.n, r.inspection_ok) for r in extract.extract(d, "typed", "doc", "body").collect()}
+    assert got == {1: (2**60 + 1, True), 2: (None, True), 3: (None, False), 4: (None, False)}
 
 
 def test_promotion_and_shared_popups(spark):
