@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from itertools import chain, repeat
 
 import pandas as pd
 
@@ -49,7 +50,8 @@ def _text(s: str) -> str:
     return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", json.dumps(s, ensure_ascii=False))
 
 
-def _write(v, indent: int | None, depth: int) -> str:
+def _scalar(v) -> str | None:
+    """Text of a value that holds no others; None for the rest."""
     if v is None:
         return "null"
     if v is True or v is False:
@@ -60,20 +62,43 @@ def _write(v, indent: int | None, depth: int) -> str:
         return _text(v)
     if not v:
         return "{}" if isinstance(v, dict) else "[]"
-    if isinstance(v, dict):
-        index = sorted((k for k in v if _INDEX.fullmatch(k) and int(k) < 2**32 - 1), key=int)
-        chosen = set(index)
-        names = index + [k for k in v if k not in chosen]
-        colon = ":" if indent is None else ": "
-        parts = [_text(k) + colon + _write(v[k], indent, depth + 1) for k in names]
-        left, right = "{", "}"
-    else:
-        parts = [_write(x, indent, depth + 1) for x in v]
-        left, right = "[", "]"
-    if indent is None:
-        return left + ",".join(parts) + right
-    pad = "\n" + " " * (indent * (depth + 1))
-    return left + pad + ("," + pad).join(parts) + "\n" + " " * (indent * depth) + right
+    return None
+
+
+def _members(v, colon: str):
+    """(what stands before a member, member) of a container in output order."""
+    if isinstance(v, list):
+        return (("", x) for x in v)
+    index = sorted((k for k in v if _INDEX.fullmatch(k) and int(k) < 2**32 - 1), key=int)
+    chosen = set(index)
+    return ((_text(k) + colon, v[k]) for k in index + [k for k in v if k not in chosen])
+
+
+def _write(value, indent: int | None) -> str:
+    """Text of a value of any depth; open containers wait on a stack."""
+    colon = ":" if indent is None else ": "
+    line = lambda depth: "" if indent is None else "\n" + " " * (indent * depth)
+    out, stack = [], []
+
+    def put(v) -> None:
+        shown = _scalar(v)
+        if shown is None:
+            out.append("{" if isinstance(v, dict) else "[")
+            stack.append((_members(v, colon), chain([""], repeat(",")), "}" if isinstance(v, dict) else "]"))
+        else:
+            out.append(shown)
+
+    put(value)
+    while stack:
+        members, commas, end = stack[-1]
+        found = next(members, None)
+        if found is None:
+            stack.pop()
+            out.append(line(len(stack)) + end)
+            continue
+        out.append(next(commas) + line(len(stack)) + found[0])
+        put(found[1])
+    return "".join(out)
 
 
 def _reject(name: str):
@@ -81,21 +106,86 @@ def _reject(name: str):
 
 
 _DECODER = json.JSONDecoder(parse_int=float, parse_float=float, parse_constant=_reject)
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _decode_deep(text: str):
+    """The decoder's result for texts nested deeper than it goes; only scalars are left to it."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    fail = lambda message, i: json.JSONDecodeError(message, text, i)
+
+    def name(i: int) -> tuple[str, int]:
+        if text[i:i + 1] != '"':
+            raise fail("Expecting property name enclosed in double quotes", i)
+        key, i = _DECODER.scan_once(text, i)
+        i = skip(i)
+        if text[i:i + 1] != ":":
+            raise fail("Expecting ':' delimiter", i)
+        return key, skip(i + 1)
+
+    top: list = []
+    stack, keys, i = [top], [None], skip(0)
+    while True:
+        sign = text[i:i + 1]
+        if sign in ("[", "{"):
+            v, end = ([], "]") if sign == "[" else ({}, "}")
+            i = skip(i + 1)
+            empty = text[i:i + 1] == end
+        else:
+            try:
+                v, i = _DECODER.scan_once(text, i)
+            except StopIteration as e:
+                raise fail("Expecting value", e.value) from None
+            empty = True
+        if isinstance(stack[-1], list):
+            stack[-1].append(v)
+        else:
+            stack[-1][keys[-1]] = v
+        if not empty:
+            key = None
+            if sign == "{":
+                key, i = name(i)
+            stack.append(v)
+            keys.append(key)
+            continue
+        i = skip(i + 1 if sign in ("[", "{") else i)
+        while len(stack) > 1 and text[i:i + 1] == ("]" if isinstance(stack[-1], list) else "}"):
+            stack.pop()
+            keys.pop()
+            i = skip(i + 1)
+        if len(stack) == 1:
+            if i < len(text):
+                raise fail("Extra data", i)
+            return top[0]
+        if text[i:i + 1] != ",":
+            raise fail("Expecting ',' delimiter", i)
+        i = skip(i + 1)
+        if isinstance(stack[-1], dict):
+            keys[-1], i = name(i)
+
+
+def _decode(text: str):
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _decode_deep(text)
+
+
 COLUMNS = ["ok", "root_type", "output", "message", "position", "line", "column"]
 
 
 def _one(text: str, indent: int | None):
     try:
-        v = _DECODER.decode(text)
+        v = _decode(text)
         root = (
             "null" if v is None else "array" if isinstance(v, list) else "object" if isinstance(v, dict)
             else "boolean" if isinstance(v, bool) else "number" if isinstance(v, float) else "string"
         )
-        return True, root, _write(v, indent, 0), None, None, None, None
+        return True, root, _write(v, indent), None, None, None, None
     except json.JSONDecodeError as e:
         lines = re.split("\r\n|\r|\n", text[: e.pos])
         return False, None, None, e.msg, e.pos, len(lines), len(lines[-1]) + 1
-    except (ValueError, RecursionError) as e:
+    except ValueError as e:
         return False, None, None, str(e), None, None, None
 
 
