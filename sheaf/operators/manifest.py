@@ -12,8 +12,6 @@ from sheaf.functions import ordered
 from sheaf.functions.text import WS, js_trim
 
 # Fixed limits.
-MAX_WORK_PAGES = 500
-MAX_OUTPUT_FILES = 200
 MAX_JOB_PAGES = 500
 MAX_TOTAL_BYTES = 100 * 1024 * 1024
 _TOKEN = rf"^(\d+)(?:{WS}*-{WS}*(\d+))?\z"
@@ -52,33 +50,45 @@ def _first(errors: Column) -> Column:
 
 def compact(pages: Column, separator: str = ",") -> Column:
     """1,2,3,7 to ``1-3,7`` for one sorted, distinct array."""
-    starts = F.filter(pages, lambda p: ~F.array_contains(pages, p - 1))
-    ends = F.filter(pages, lambda p: ~F.array_contains(pages, p + 1))
+    apart = lambda p, i, step: F.coalesce(F.get(pages, i + step) != p + step, F.lit(True))
+    starts = F.filter(pages, lambda p, i: apart(p, i, -1))
+    ends = F.filter(pages, lambda p, i: apart(p, i, 1))
     label = lambda s, e: F.when(s == e, s.cast("string")).otherwise(F.concat_ws("-", s.cast("string"), e.cast("string")))
     return F.array_join(F.zip_with(starts, ends, label), separator)
 
 
-def parse_selection(df: DataFrame, expr: str, page_count: str, max_pages: int = MAX_WORK_PAGES) -> DataFrame:
-    """Add error (NULL when valid), pages (sorted, distinct), n_pages and label."""
+def parse_selection(df: DataFrame, expr: str, page_count: str, max_pages: int | None = None) -> DataFrame:
+    """Add error (NULL when valid), pages (sorted, distinct), n_pages and label.
+
+    With ``max_pages``, larger selections are errors; else the document's pages are the only bound."""
     d = _parsed(df, expr, page_count)
     d = d.withColumn("__e", F.when(F.col("__empty"), "invalid-page-selection").otherwise(_first(F.col("__err"))))
-    # One range beyond the limit is already too much, so it is never expanded.
-    wide = F.exists("__rng", lambda r: r["e"] - r["s"] + 1 > max_pages)
-    d = d.withColumn("__e", F.coalesce("__e", F.when(wide, "workload-too-large")))
+    if max_pages is not None:  # one range beyond the limit is already too much, so it is never expanded
+        wide = F.exists("__rng", lambda r: r["e"] - r["s"] + 1 > max_pages)
+        d = d.withColumn("__e", F.coalesce("__e", F.when(wide, "workload-too-large")))
     pages = F.array_sort(F.array_distinct(F.flatten(F.transform("__rng", lambda r: F.sequence(r["s"], r["e"])))))
     d = d.withColumn("__p", F.when(F.col("__e").isNull(), pages))
-    d = d.withColumn("__e", F.coalesce("__e", F.when(F.size("__p") > max_pages, "workload-too-large")))
+    if max_pages is not None:
+        d = d.withColumn("__e", F.coalesce("__e", F.when(F.size("__p") > max_pages, "workload-too-large")))
     valid = F.col("__e").isNull()
     label = compact(F.col("__p"), "-")
     return d.select(
         *df.columns, F.col("__e").alias("error"), F.when(valid, F.col("__p")).alias("pages"),
         F.when(valid, F.size("__p")).alias("n_pages"),
-        F.when(valid, F.when(F.length(label) <= 80, label).otherwise("selected")).alias("label"),
+        F.when(valid, label).alias("label"),
     )
 
 
-def parse_ranges(df: DataFrame, expr: str, page_count: str) -> DataFrame:
-    """Add error and groups ARRAY<STRUCT<group_no, start, end, label>> in written order, no overlaps."""
+def _too_much(files: Column, pages: Column, max_files: int | None, max_pages: int | None) -> Column:
+    """Why a job exceeds the limits given, NULL if it doesn't."""
+    many = F.lit(None) if max_files is None else F.when(files > max_files, "too-many-output-files")
+    return F.coalesce(many, F.lit(None) if max_pages is None else F.when(pages > max_pages, "workload-too-large")).cast("string")
+
+
+def parse_ranges(df: DataFrame, expr: str, page_count: str, max_files: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """Add error and groups ARRAY<STRUCT<group_no, start, end, label>> in written order, no overlaps.
+
+    Jobs over ``max_files`` groups or ``max_pages`` pages are errors if these are given."""
     d = _parsed(df, expr, page_count)
     zipped = F.arrays_zip("__err", "__rng")
     overlaps = lambda z, i: F.exists(
@@ -87,8 +97,7 @@ def parse_ranges(df: DataFrame, expr: str, page_count: str) -> DataFrame:
     total = F.aggregate("__rng", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"] + 1)
     error = (
         F.when(F.col("__empty"), "invalid-page-selection").when(_first(codes).isNotNull(), _first(codes))
-        .when(F.size("__rng") > MAX_OUTPUT_FILES, "too-many-output-files")
-        .when(total > MAX_WORK_PAGES, "workload-too-large")
+        .otherwise(_too_much(F.size("__rng"), total, max_files, max_pages))
     )
     label = lambda r: F.when(r["s"] == r["e"], r["s"].cast("string")).otherwise(
         F.concat_ws("-", r["s"].cast("string"), r["e"].cast("string")))
@@ -98,9 +107,9 @@ def parse_ranges(df: DataFrame, expr: str, page_count: str) -> DataFrame:
     return d.select(*df.columns, F.col("__e").alias("error"), F.when(F.col("__e").isNull(), groups).alias("groups"))
 
 
-def every_page_groups(df: DataFrame, page_count: str) -> DataFrame:
+def every_page_groups(df: DataFrame, page_count: str, max_files: int | None = None, max_pages: int | None = None) -> DataFrame:
     n = F.col(page_count)
-    error = F.when(n > MAX_OUTPUT_FILES, "too-many-output-files").when(n > MAX_WORK_PAGES, "workload-too-large")
+    error = _too_much(n, n, max_files, max_pages)
     groups = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(
         p.alias("group_no"), p.cast("bigint").alias("start"), p.cast("bigint").alias("end"), p.cast("string").alias("label")))
     d = df.withColumn("error", error)

@@ -76,8 +76,8 @@ def _files(s, sf):
         F.when(F.col("doc_id") % 11 == 0, 30 * 1024 * 1024).otherwise(F.octet_length("text")).cast("bigint").alias("bytes"))
 
 
-def _texts(s, sf):
-    return media.admit_texts(_files(s, sf)).select("path", F.coalesce(F.length("text"), F.lit(-1)).alias("kept"), "truncated", "reason")
+def _texts(s, sf, **limits):
+    return media.admit_texts(_files(s, sf), **limits).select("path", F.coalesce(F.length("text"), F.lit(-1)).alias("kept"), "truncated", "reason")
 
 
 def _lines_of(text):
@@ -102,8 +102,9 @@ QUERIES = {
     "s4_scan_media": _media_out,
     "s4_media_audit": lambda s, sf: media.media_audit(_media(s, sf)),
     "s5_text_corpus": _texts,
+    "s5_text_limits": lambda s, sf: _texts(s, sf, max_bytes=media.MAX_TEXT_BYTES, max_characters=media.MAX_TEXT_CHARACTERS),
     "s6_json_documents": lambda s, sf: media.admit_json(_files(s, sf))[0].select("path", "bytes"),
-    "s6_json_rejects": lambda s, sf: media.admit_json(_files(s, sf))[1],
+    "s6_json_rejects": lambda s, sf: media.admit_json(_files(s, sf), media.MAX_JSON_BYTES, media.MAX_JSON_CHARACTERS)[1],
     "k1_extract": _extracted,
 }
 
@@ -128,8 +129,9 @@ ORACLES = {
         SELECT p_brand, p_partkey, p_name, CASE WHEN k = 1 THEN base ELSE left(base, cast(31 - length(' ' || k) AS bigint)) || ' ' || k END AS export_name FROM r""",
     "s4_scan_media": f"WITH {_MEDIA} SELECT path, cast(length AS bigint) AS length, detected, cast(CASE WHEN detected = '' THEN -1 ELSE width END AS bigint) AS width, cast(CASE WHEN detected = '' THEN -1 ELSE height END AS bigint) AS height, reason FROM v",
     "s4_media_audit": f"WITH {_MEDIA} SELECT reason, CASE WHEN detected = '' THEN 'none' ELSE detected END AS detected, count(*) AS files, cast(sum(length) AS bigint) AS bytes FROM v GROUP BY ALL",
-    "s5_text_corpus": f"WITH {_FILES} SELECT path, cast(CASE WHEN bytes > 10485760 THEN -1 ELSE least(n, 500000) END AS int) AS kept, bytes <= 10485760 AND n > 500000 AS truncated, CASE WHEN bytes > 10485760 THEN 'file-too-large' ELSE 'ok' END AS reason FROM f",
-    "s6_json_documents": f"WITH {_FILES} SELECT path, bytes FROM f WHERE doc_id % 4 <> 0 AND bytes <= 20971520",
+    "s5_text_corpus": f"WITH {_FILES} SELECT path, cast(n AS int) AS kept, false AS truncated, 'ok' AS reason FROM f",
+    "s5_text_limits": f"WITH {_FILES} SELECT path, cast(CASE WHEN bytes > 10485760 THEN -1 ELSE least(n, 500000) END AS int) AS kept, bytes <= 10485760 AND n > 500000 AS truncated, CASE WHEN bytes > 10485760 THEN 'file-too-large' ELSE 'ok' END AS reason FROM f",
+    "s6_json_documents": f"WITH {_FILES} SELECT path, bytes FROM f WHERE doc_id % 4 <> 0",
     "s6_json_rejects": f"WITH {_FILES} SELECT path, bytes, CASE WHEN doc_id % 4 = 0 THEN 'wrong-extension' ELSE 'file-too-large' END AS reason FROM f WHERE doc_id % 4 = 0 OR bytes > 20971520",
     "k1_extract": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE length(text) % 13 <> 0)
         SELECT doc_id, cast(i AS int) AS line_no, cast(length(t) AS int) AS size, true AS inspection_ok FROM l UNION ALL SELECT doc_id, -1, -1, false FROM documents WHERE length(text) % 13 = 0""",

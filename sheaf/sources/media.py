@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 # Fixed limits.
@@ -89,29 +89,33 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("bytes"))
 
 
-def admit_texts(files: DataFrame) -> DataFrame:
-    """path, text, truncated, reason: files over 10 MB are refused, longer texts keep 500,000 characters
-    (the reader's own limits)."""
-    over = F.col("bytes") > MAX_TEXT_BYTES
+def _over(size: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else F.coalesce(size > limit, F.lit(False))
+
+
+def admit_texts(files: DataFrame, max_bytes: int | None = None, max_characters: int | None = None) -> DataFrame:
+    """path, text, truncated, reason. Whole texts, unless limits are given: then files over ``max_bytes`` are refused
+    and longer texts keep ``max_characters``."""
+    over, long = _over(F.col("bytes"), max_bytes), _over(F.length("text"), max_characters)
+    text = F.col("text") if max_characters is None else F.left("text", F.lit(max_characters))
     return files.select(
-        "path", F.when(~over, F.left("text", F.lit(MAX_TEXT_CHARACTERS))).alias("text"),
-        (~over & (F.length("text") > MAX_TEXT_CHARACTERS)).alias("truncated"), F.when(over, "file-too-large").otherwise("ok").alias("reason"))
+        "path", F.when(~over, text).alias("text"), (~over & long).alias("truncated"), F.when(over, "file-too-large").otherwise("ok").alias("reason"))
 
 
-def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return admit_texts(_files(spark, path))
+def read_text_corpus(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    return admit_texts(_files(spark, path), **limits)
 
 
-def admit_json(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) by extension, 20 MB and 20,000,000 characters."""
+def admit_json(files: DataFrame, max_bytes: int | None = None, max_characters: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) by extension, and by size where a limit is given."""
     reason = (
-        F.when(~F.lower("path").endswith(".json"), "wrong-extension").when(F.col("bytes") > MAX_JSON_BYTES, "file-too-large")
-        .when(F.length("text") > MAX_JSON_CHARACTERS, "content-too-large"))
+        F.when(~F.lower("path").endswith(".json"), "wrong-extension").when(_over(F.col("bytes"), max_bytes), "file-too-large")
+        .when(_over(F.length("text"), max_characters), "content-too-large"))
     d = files.withColumn("reason", reason)
     return d.filter("reason IS NULL").drop("reason"), d.filter("reason IS NOT NULL").select("path", "bytes", "reason")
 
 
-def read_json_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return admit_json(_files(spark, path))
+def read_json_documents(spark: SparkSession, path: str, **limits: int) -> tuple[DataFrame, DataFrame]:
+    return admit_json(_files(spark, path), **limits)
 
 

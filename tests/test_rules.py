@@ -165,6 +165,18 @@ def test_ruled_tables(spark):
     assert got == [(0, 0, 0, 0), (0, 0, 1, 1), (0, 1, 0, 2), (0, 1, 1, 3)]  # a span across an edge closes the table
 
 
+def test_selections_have_no_limit_unless_given(spark):
+    from sheaf.operators import manifest
+
+    d = spark.createDataFrame([("1-700,900", 1000), ("3,1-2", 3)], "e string, n bigint")
+    got = [(r.error, r.n_pages, r.label) for r in manifest.parse_selection(d, "e", "n").collect()]
+    assert got == [(None, 701, "1-700-900"), (None, 3, "1-3")]
+    assert [r.error for r in manifest.parse_selection(d, "e", "n", max_pages=500).collect()] == ["workload-too-large", None]
+    assert [len(r.groups) for r in manifest.every_page_groups(d, "n").collect()] == [1000, 3]
+    ranges = lambda **limits: [r.error for r in manifest.parse_ranges(d, "e", "n", **limits).collect()]
+    assert ranges() == [None, None] and ranges(max_files=1, max_pages=500) == ["too-many-output-files"] * 2
+
+
 def test_json_of_any_depth():
     deep = "[" * 60_000 + '{"a": 1.50}' + "]" * 60_000
     out = jsontext.process(pd.Series([deep, deep[:-1], '{"a":' * 2_000 + "x" + "}" * 2_000, "[" * 50_000 + "1 2"]), None)
