@@ -43,11 +43,11 @@ def _json_errors(spark, sf):
 
 
 def _events_latest(df):
-    return df.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    return df.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value", "props")
 
 
 def _latest(spark, sf):
-    return _events_latest(j.latest_response(load(spark, sf, "events").drop("props"), "user_id", ["ts", "event_id"]))
+    return _events_latest(j.latest_response(load(spark, sf, "events"), "user_id", ["ts", "event_id"]))
 
 
 def _stream(spark, sf, name):
@@ -71,11 +71,12 @@ def _st1(spark, sf):
 
 
 def _st2(spark, sf):
-    base, name = _folder(spark, "latest"), "sheaf_latest"
-    latest = jobs.stream_latest(_stream(spark, sf, "events").drop("props"), "user_id", ["ts", "event_id"])
-    (latest.writeStream.outputMode("complete").option("checkpointLocation", base + "/state").trigger(availableNow=True)
-     .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(base + "/out")).start().awaitTermination())
-    return _events_latest(spark.read.parquet(base + "/out"))
+    base = _folder(spark, "latest")
+    latest = jobs.stream_latest(_stream(spark, sf, "events"), "user_id", ["ts", "event_id"])
+    # A trigger writes the keys it changed; readers take the newest row of each.
+    (latest.writeStream.outputMode("update").option("checkpointLocation", base + "/state").trigger(availableNow=True)
+     .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out/batch={i}")).start().awaitTermination())
+    return _events_latest(j.latest_response(spark.read.parquet(base + "/out").drop("batch"), "user_id", ["ts", "event_id"]))
 
 
 def _change(spark, sf):
@@ -171,7 +172,7 @@ _CONVERTED = f"""(SELECT m.*, CASE WHEN m.category <> 'temperature' THEN value *
       WHEN m.unit = 'f' THEN (value - 32) * 5 / 9 ELSE value - 273.15::DOUBLE END AS converted
     FROM fx_measurements m LEFT JOIN {_UNITS} a(c, u, f) ON a.c = m.category AND a.u = m.unit
     LEFT JOIN {_UNITS} b(c, u, f) ON b.c = m.category AND b.u = m.target)"""
-_LATEST = """SELECT user_id, event_id, epoch_us(ts) AS at, event_type, value FROM
+_LATEST = """SELECT user_id, event_id, epoch_us(ts) AS at, event_type, value, props FROM
     (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"""
 _ENC = "replace(replace(url_encode({}), '+', '%20'), '%28', '(')"
 _CONTACT_ERRORS = r"""SELECT *, concat_ws(',',
