@@ -253,7 +253,7 @@ FROM (SELECT *, %SEQ(1, 2)% AS cover_no FROM fx_word_pages) p
 FIXTURES["fx_marks"] = """
 SELECT doc_id, 'm' || cast(m AS string) AS mark_id, cast(case m when 1 then a when 2 then a + 10 else 90 end AS int) AS start,
        cast(case when m = 1 and doc_id % 17 = 0 then n + 5 when m = 1 then a + 20 when m = 2 then a + 35 else 100 end AS int) AS end_
-FROM (SELECT doc_id, doc_id % 50 AS a, length(text) AS n, %SEQ(1, 3)% AS m FROM documents WHERE length(text) >= 100 AND doc_id % 3 <> 1) d
+FROM (SELECT doc_id, doc_id % 50 AS a, length(text) AS n, %SEQ(1, 3)% AS m FROM documents) d
 """
 
 FIXTURES["fx_policy_docs"] = """

@@ -65,9 +65,7 @@ def reachability(objects: DataFrame, edges: DataFrame, roots: DataFrame, max_dep
 def classify_objects(objects: DataFrame) -> DataFrame:
     """(doc_id, obj_id, rule_no, category, title, concern, confidence, removal, path, evidence MAP).
 
-    One object may give several findings; evidence texts are capped as part of the report format."""
-    cap = lambda c, n=100: F.left(c, F.lit(n))
-
+    One object may give several findings; evidence holds whole values."""
     def finding(rule, test, category, title, concern, evidence, removal="supported-later", confidence="high"):
         lit = lambda v: F.lit(v) if isinstance(v, str) else v
         pairs = [x for k, v in evidence.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))]
@@ -84,7 +82,7 @@ def classify_objects(objects: DataFrame) -> DataFrame:
             F.when(e["key"].isin(*STANDARD_INFO), F.concat(e["key"], F.lit(" metadata"))).otherwise("Custom Info metadata").alias("title"),
             F.when(e["key"] == "Author", "review").otherwise("informational").alias("concern"), F.lit("high").alias("confidence"),
             F.lit("supported-later").alias("removal"),
-            F.create_map(F.lit("key"), e["key"], F.lit("value"), cap(e["value"])).alias("evidence")))
+            F.create_map(F.lit("key"), e["key"], F.lit("value"), e["value"]).alias("evidence")))
     root = F.col("path") == "trailer/Root"
     sub = at("Subtype")
     widget = sub == "Widget"
@@ -93,18 +91,18 @@ def classify_objects(objects: DataFrame) -> DataFrame:
         F.when(F.col("path") == "trailer/Info", info),
         finding(1, (F.col("path") == "trailer/Root/Metadata") & (at("Type") == "Metadata"), "xmp", "XMP metadata stream", "review", {}),
         finding(2, (at("Type") == "Filespec") | has("EF"), "attachment", "Embedded file reference", "high",
-                {"filename": cap(F.coalesce(at("UF"), at("F"), F.lit("Unnamed")))}),
+                {"filename": F.coalesce(at("UF"), at("F"), F.lit("Unnamed"))}),
         finding(3, dangerous().isNotNull(), "active-content", F.concat(dangerous(), F.lit(" action")), "high", {"action": dangerous()}),
         finding(4, root & has("OpenAction"), "active-content", "OpenAction entry", "review", {}),
         finding(5, has("AA"), "active-content", "Additional action triggers", "review", {}),
-        finding(6, is_uri(), "external-link", "External URI action", "review", {"target": cap(F.coalesce(at("URI"), F.lit("Unspecified")), 160)}),
+        finding(6, is_uri(), "external-link", "External URI action", "review", {"target": F.coalesce(at("URI"), F.lit("Unspecified"))}),
         finding(7, noted, "annotation", F.when(widget, "Form widget").otherwise(F.concat(sub, F.lit(" annotation"))),
-                F.when(widget, "informational").otherwise("review"), {"subtype": sub, "summary": cap(at("Contents"))},
+                F.when(widget, "informational").otherwise("review"), {"subtype": sub, "summary": at("Contents")},
                 F.when(widget, "inspect-only").otherwise("supported-later")),
         finding(8, root & has("AcroForm"), "form", "AcroForm present", "informational", {}, "inspect-only"),
         finding(9, F.contains("path", F.lit("/Fields/")) & (has("T") | has("FT")), "form", "Form field",
                 F.when(has("V") | has("DV"), "review").otherwise("informational"),
-                {"name": cap(F.coalesce(at("T"), F.lit("Unnamed"))), "type": F.coalesce(at("FT"), F.lit("Inherited"))}, "inspect-only"),
+                {"name": F.coalesce(at("T"), F.lit("Unnamed")), "type": F.coalesce(at("FT"), F.lit("Inherited"))}, "inspect-only"),
         finding(10, root & has("OCProperties"), "optional-content", "Optional PDF layers", "review", {}, "inspect-only"),
         finding(11, has("Thumb"), "thumbnail", "Embedded page thumbnail", "review", {}, "inspect-only"),
     ]

@@ -172,16 +172,16 @@ _OBJ = r"""raw AS (SELECT page_id AS doc_id, unnest(l) AS raw, generate_subscrip
     o AS (SELECT doc_id, obj_id, tag, """ + ", ".join(f"{_ATTR(n)} AS {n}_" for n in ("href", "src", "name", "content", "value", "type")) + r""",
       CASE WHEN tag = '#comment' THEN trim(regexp_replace(raw, '^<!--|-->$', '', 'g')) ELSE trim(regexp_replace(raw, '^<[^>]*>', '')) END AS own FROM tagged),
     k AS (SELECT *, tag = 'a' AND regexp_matches(href_, '(?i)^https?:') AS uri, upper(left(name_, 1)) || lower(substr(name_, 2)) AS iname FROM o),
-    fd AS (SELECT doc_id, obj_id, 'metadata' AS category, 'Title metadata' AS title, 'informational' AS concern, 'supported-later' AS removal, left(own, 100) AS detail FROM k WHERE tag = 'title' AND own <> ''
+    fd AS (SELECT doc_id, obj_id, 'metadata' AS category, 'Title metadata' AS title, 'informational' AS concern, 'supported-later' AS removal, own AS detail FROM k WHERE tag = 'title' AND own <> ''
       UNION ALL SELECT doc_id, obj_id, 'metadata', CASE WHEN iname IN ('Title','Author','Subject','Keywords','Creator','Producer') THEN iname || ' metadata' ELSE 'Custom Info metadata' END,
-        CASE WHEN iname = 'Author' THEN 'review' ELSE 'informational' END, 'supported-later', left(content_, 100) FROM k WHERE tag = 'meta' AND content_ <> ''
+        CASE WHEN iname = 'Author' THEN 'review' ELSE 'informational' END, 'supported-later', content_ FROM k WHERE tag = 'meta' AND content_ <> ''
       UNION ALL SELECT doc_id, obj_id, 'active-content', 'JavaScript action', 'high', 'supported-later', '' FROM k WHERE tag = 'script'
-      UNION ALL SELECT doc_id, obj_id, 'external-link', 'External URI action', 'review', 'supported-later', left(href_, 160) FROM k WHERE uri
+      UNION ALL SELECT doc_id, obj_id, 'external-link', 'External URI action', 'review', 'supported-later', href_ FROM k WHERE uri
       UNION ALL SELECT doc_id, obj_id, 'annotation', 'Link annotation', 'review', 'supported-later', '' FROM k WHERE tag = 'a' AND NOT uri
-      UNION ALL SELECT doc_id, obj_id, 'annotation', 'Text annotation', 'review', 'supported-later', left(own, 100) FROM k WHERE tag = '#comment'
+      UNION ALL SELECT doc_id, obj_id, 'annotation', 'Text annotation', 'review', 'supported-later', own FROM k WHERE tag = '#comment'
       UNION ALL SELECT doc_id, obj_id, 'form', 'AcroForm present', 'informational', 'inspect-only', '' FROM k WHERE tag = 'form'
-      UNION ALL SELECT doc_id, obj_id, 'form', 'Form field', 'review', 'inspect-only', left(name_, 100) FROM k WHERE tag IN ('input', 'select', 'textarea')
-      UNION ALL SELECT doc_id, obj_id, 'attachment', 'Embedded file reference', 'high', 'supported-later', left(src_, 100) FROM k WHERE tag IN ('iframe', 'object', 'embed')
+      UNION ALL SELECT doc_id, obj_id, 'form', 'Form field', 'review', 'inspect-only', name_ FROM k WHERE tag IN ('input', 'select', 'textarea')
+      UNION ALL SELECT doc_id, obj_id, 'attachment', 'Embedded file reference', 'high', 'supported-later', src_ FROM k WHERE tag IN ('iframe', 'object', 'embed')
       UNION ALL SELECT doc_id, -1, 'image-metadata', 'Embedded images inventoried', 'informational', 'inspect-only', cast(count(*) AS varchar) FROM k WHERE tag = 'img' GROUP BY doc_id),
     docs AS (SELECT DISTINCT doc_id FROM k),
     grp AS (SELECT doc_id, CASE WHEN category = 'metadata' THEN 'metadata' WHEN category = 'attachment' THEN 'attachments' WHEN category = 'active-content' THEN 'activeContent'
