@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +89,14 @@ def _emit(seen: dict[str, Counter]):
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train: Column | None = None, max_docs: int = 20_000,
         max_words: int = 60_000, max_grams: int = 60_000) -> Model:
-    """Learn from at most ``max_docs`` documents, those with the least hash of their key among the rows that ``train``
-    admits and that have text and language. Counting is a Spark job; the model keeps the ``max_words`` most frequent
-    words and the ``max_grams`` most frequent n-grams, so it stays a few tens of megabytes for any input."""
+    """Learn from at most ``max_docs`` documents a language, those with the least hash of their key among the rows that
+    ``train`` admits and that have text and language. Counting is a Spark job; the model keeps the ``max_words`` most
+    frequent words and the ``max_grams`` most frequent n-grams of each language, so it grows with the languages only."""
     rows = df.where(F.lit(True) if train is None else train).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    chosen = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(max_docs)
-    counted = stage(_counts(rows.join(F.broadcast(chosen), "key", "left_semi")))
+    present = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    chosen = _of_each(rows.select("lang", "key").distinct(), present, max_docs, F.xxhash64("key"), F.col("key"))
+    counted = stage(_counts(rows.join(F.broadcast(chosen), ["lang", "key"], "left_semi")))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     model = Model(sorted(totals))
     model.words, model.word_logs = _table(counted.withColumnRenamed("word", "key"), model.langs, totals, max_words)
@@ -108,10 +110,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     return model
 
 
+def _of_each(rows: DataFrame, langs: list[str], most: int, *order: Column) -> DataFrame:
+    """The first ``most`` rows of each language."""
+    return reduce(DataFrame.unionByName, [rows.where(F.col("lang") == x).orderBy(*order).limit(most) for x in langs], rows.limit(0))
+
+
 def _table(counted: DataFrame, langs: list[str], totals: dict[str, int], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Position and log frequencies, less their mean over the languages, of the ``most`` most frequent keys."""
-    per = counted.groupBy("key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = per.orderBy(F.col("all").desc(), "key").limit(most).select("key", "by").collect()
+    """Position and log frequencies, less their mean over the languages, of each language's ``most`` most frequent keys."""
+    top = _of_each(counted, langs, most, F.col("n").desc(), F.col("key")).select("key").distinct()
+    per = counted.join(F.broadcast(top), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    rows = per.orderBy(F.col("all").desc(), "key").select("key", "by").collect()
     counts = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.float64).reshape(len(rows), len(langs))
     logs = np.log((counts + SMOOTHING) / (np.array([totals.get(x, 0) for x in langs]) + SMOOTHING * (len(rows) + 1)))
     logs -= logs.mean(axis=1, keepdims=True) if len(langs) else 0
