@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheaf.llm import annsearch, exactdedup, langid, mixing, packing, simhash, tokencounts, tokenfiles, toxicity, urlrules
+from sheaf.llm import annsearch, exactdedup, langid, mixing, packing, piecing, simhash, tokencounts, tokenfiles, toxicity, urlrules
 from sheaf.llm.common import held_out
 from sheaf.llm.tokenizing import Vocabulary
 
@@ -71,6 +71,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    encoded = piecing.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_language_id, op3_url_rules, op4_packing, op5_mixing, op6_nearest, op7_toxicity, op8_token_counts, op9_token_files,
-    op10_exact_dedup, pipeline)}
+    op10_exact_dedup, op11_pieces, pipeline)}
 
 
 def _pattern_sql(pattern: str) -> str:
