@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sheaf.llm.tokenizing import SEPARATORS, _ragged, slices
 
 MARK = "▁"
-#: Parts kept per process; others are computed again in the slices in which they occur.
-PARTS_KEPT = 800_000
+#: Parts kept per process, and their bytes; others are computed again in the slices in which they occur.
+PARTS_KEPT, BYTES_KEPT = 800_000, 32 << 20
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 BPE = 2
@@ -249,8 +249,7 @@ class Encoder:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK), MARK, found + MARK)
         runs = pc.replace_substring(pc.binary_join_element_wise(found + MARK, marked, ""), MARK + found, MARK)
         filled = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", runs)  # an empty text has no prefix either
-        parts = pc.split_pattern(filled, found)  # the part before the first separator is empty
-        return parts
+        return pc.split_pattern(filled, found)  # the part before the first separator is empty
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column in one array, and where each text's ids start (one more entry than texts)."""
@@ -273,7 +272,7 @@ class Encoder:
             at[unknown.to_numpy(zero_copy_only=False)] = new.indices.to_numpy() + len(counts)
             table = np.concatenate((table, np.array([i for e in learned for i in e], np.int32)))
             counts = np.concatenate((counts, np.fromiter(map(len, learned), np.int64, len(learned))))
-            if len(self.parts) < PARTS_KEPT:
+            if len(self.parts) < PARTS_KEPT and self.parts.nbytes < BYTES_KEPT:
                 kept = min(len(counts), PARTS_KEPT)
                 self.parts = pa.concat_arrays([pa.concat_arrays([self.parts, new.dictionary]).slice(0, kept)])
                 self.counts = counts[:kept].copy()
