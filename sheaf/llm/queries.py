@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheaf.llm import annsearch, exactdedup, langid, mixing, packing, piecing, simhash, tokencounts, tokenfiles, toxicity, turnrepair, urlrules
+from sheaf.llm import annsearch, exactdedup, langid, mixing, packing, piecing, simhash, tokencounts, tokenfiles, toxicity, turnrepair, turntrie, urlrules
 from sheaf.llm.common import held_out
 from sheaf.llm.tokenizing import Vocabulary
 
@@ -83,6 +83,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repair(table(spark, sf_dir, "conversations"), damaged=True)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_language_id, op3_url_rules, op4_packing, op5_mixing, op6_nearest, op7_toxicity, op8_token_counts, op9_token_files,
-    op10_exact_dedup, op11_pieces, op12_repair, pipeline)}
+    op10_exact_dedup, op11_pieces, op12_repair,
+    op13_prefix_trie, pipeline)}
 
 
 def _pattern_sql(pattern: str) -> str:
