@@ -44,6 +44,38 @@ def stage(df: DataFrame) -> DataFrame:
 
     Later steps read columns of a finished table instead of recomputing its plan, and a lost
     executor costs a re-read, not the lineage."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Stages:
+    """Staged tables that one computation owns: they go when it leaves, or earlier with ``drop``.
+
+    What outlives the computation must have been written (by ``stage``) before it ends."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> "Stages":
+        return self
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+        out = _written(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables whose last reader is done; others than staged ones are left alone."""
+        for table in tables:
+            if found := self.paths.pop(id(table), None):
+                context = found[0].sparkSession.sparkContext
+                folder = context._jvm.org.apache.hadoop.fs.Path(found[1])
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for table, _ in list(self.paths.values())])
