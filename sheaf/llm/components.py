@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from sheaf.session import stage
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """(node, root) for every node that ``edges(src, dst)`` touches; the root is the smallest node reachable.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest of them. Both steps join
     the edges with one row per node, so adaptive execution may split a node with very many edges. Rounds grow with
-    the logarithm of the longest chain; each ends as a written table, so lineage stays one round long."""
+    the logarithm of the longest chain; each ends as a table that ``stage`` writes, so lineage stays one round long."""
     edges = stage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
                   .distinct())
     before = _state(edges)

@@ -95,7 +95,7 @@ def test_mix(docs_of, spark):
 
 def test_pipeline_stage_by_stage(spark, docs_of):
     """Each stage against a plain version of its rule, on its own input."""
-    import test_dedup as plain
+    import test_shingles as plain
 
     sf = "/root/testdata/sf0.001"
     docs = queries.table(spark, sf, "documents")
@@ -114,9 +114,8 @@ def test_pipeline_stage_by_stage(spark, docs_of):
     left = {r["doc_id"]: r["text"] for r in two.collect()}
     assert two.columns == docs.columns and set(left) == {i for _, i in best.values()}
     three = stage(steps["near_dedup"](spark, two, sf))
-    prints = {i: plain.brute_fingerprint(t) for i, t in left.items()}
-    root = plain.groups_of(sorted(left), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-    assert three.columns == docs.columns and sorted(r["doc_id"] for r in three.collect()) == sorted({min(j for j in left if root[j] == root[i]) for i in left})
+    _, firsts = plain.least_of_groups({i: plain.plain_set(t) for i, t in left.items()})
+    assert three.columns == docs.columns and sorted(r["doc_id"] for r in three.collect()) == sorted(firsts)
     four = stage(steps["mixing"](spark, three, sf))
     served = {r["doc_id"]: r["taken"] / r["size"] if r["size"] else None for r in mixing.mixed_sizes(three).collect()}
     times = Counter(r["doc_id"] for r in four.collect())
