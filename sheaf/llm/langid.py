@@ -16,12 +16,21 @@ from sheaf.llm.tokenizing import slices
 from sheaf.llm.wordscores import WordScores
 from sheaf.session import stage
 
+#: Word characters that are neither decimal digits nor low lines; number signs such as a half are left out after that.
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 
 
+def letter_words(text: str) -> list[str]:
+    """The runs of letters in a text."""
+    found = LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+
+
 @dataclass
 class Model:
     """Log frequencies per language of words and of n-grams; ``langs`` in code point order."""
@@ -52,7 +61,7 @@ class Model:
 
     def piece(self, piece: str) -> list[float]:
         """Summed evidence of the words in a white-space separated piece, and whether it has a letter."""
-        found = LETTERS.findall(piece)
+        found = letter_words(piece)
         if not found:
             return [0.0] * len(self.langs) + [0.0]
         return [*np.sum([self.word(w) for w in found], axis=0), 1.0]
@@ -70,7 +79,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                 for lang in pc.unique(langs).to_pylist():
                     own = pc.utf8_lower(texts.filter(pc.equal(langs, lang)))
                     for entry in pc.value_counts(pc.utf8_split_whitespace(own).flatten()).to_pylist():
-                        for word in LETTERS.findall(entry["values"]):
+                        for word in letter_words(entry["values"]):
                             seen.setdefault(lang, Counter())[word] += entry["counts"]
             if sum(map(len, seen.values())) > 200_000:
                 yield from _emit(seen)

@@ -66,14 +66,14 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 class Encoder:
-    """Encodes columns of texts. Strings of special tokens in a text are ordinary text; null counts as empty."""
+    """Encodes columns of texts as the tokenizer does, strings of special tokens included; null counts as empty."""
 
     def __init__(self, vocabulary: Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space = vocabulary.drops_space
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words are kept here
@@ -119,9 +119,22 @@ class Encoder:
             self.tails[sign] = array("I", self.tokenizer.encode(sign, add_special_tokens=False).ids).tobytes()
         return self.tails[sign]
 
+    def _apart(self, texts: pa.Array, one, many, width: int):
+        """``many`` of the texts, those that hold a string of a special token through ``one``, each as a whole."""
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        found, at = many(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        if not odd.any():
+            return found, at
+        parts = [np.array(one(texts[i].as_py()), found.dtype).reshape((-1, width) if width > 1 else -1) if o else found[at[i]:at[i + 1]] for i, o in enumerate(odd.tolist())]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column in one array, and where each text's ids start (one more entry than texts)."""
-        texts = pc.fill_null(texts, "")
+        return self._apart(pc.fill_null(texts, ""), lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids, self._ids, 1)
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = self.pieces(texts)
         if parts is None:
             each = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
@@ -179,7 +192,9 @@ class SpanEncoder(Encoder):
         """(tokens, 2): first and past-the-last character of each token in its text, and where each text's tokens start.
 
         Tokens that hold parts of one character all span it."""
-        texts = pc.fill_null(texts, "")
+        return self._apart(pc.fill_null(texts, ""), lambda t: self.tokenizer.encode(t, add_special_tokens=False).offsets, self._spans, 2)
+
+    def _spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = self.pieces(texts)
         if parts is None:
             each = [np.array(self.tokenizer.encode(t, add_special_tokens=False).offsets, np.int64).reshape(-1, 2) for t in texts.to_pylist()]

@@ -14,11 +14,11 @@ RNG = random.Random(1)
 ODD = ["", " ", "\n", "  a", "a  b", " a b ", "a \n b", "a\n\n\nb", "x  ", "x \n", "don't  it's", "é ́x", "\x1cfoo\x1c bar", "a b　 c",
        "ΑΣ ΣΑΣ", "a\0b c", "<|endoftext|> x<|endoftext|>", "🙂🙂 é\tb\r\nc", "日本語 テキスト", "1234 5 678", "İstanbul K ŉ ǆ", "Word, word. Word! WORD"]
 ODD += ["".join(RNG.choice(" \n\tab'Sé.,1́ İß|") for _ in range(RNG.randint(1, 30))) for _ in range(2000)] + ["long word " * 20000]
+ODD += ["".join(RNG.choice(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "a", "Word.", "\n", "<|", "|>", "é"]) for _ in range(RNG.randint(1, 9))) for _ in range(600)]
 
 
 def whole(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False)
 
 
