@@ -11,66 +11,113 @@ from sheaf.functions.numbers import plain_number
 from sheaf.functions.text import WS, js_trim, normalize_text
 from sheaf.session import stage
 
-NEWLINE = "\r\n|\r|\n"
+#: Stand for one that a cell holds, and for the border of two cells, while a record is taken apart.
+MARK, BORDER = "\x01a", "\x01b"
 
 
-def _options(spark: SparkSession):
-    return (
-        spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", "UTF-8")
-        .option("maxCharsPerColumn", -1)
-    )
+def _physical_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, seq, sub, text, ends, valid): every physical line with the line break that ends it.
+
+    Files are read in byte ranges; ``start`` is the first byte of a line's range and ``seq`` its order in it. Line feeds
+    border the ranges, carriage returns split what lies between."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.make_valid_utf8("value").alias("value"), F.is_valid_utf8("value").alias("valid"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seq"))
+    raw = raw.withColumn("parts", F.split("value", "\r", -1))
+    both = (F.element_at("parts", -1) == "") & (F.size("parts") > 1)
+    count = F.size("parts") - F.when(both, 1).otherwise(0)
+    parts = raw.select("file", "start", "seq", "valid", count.alias("count"), both.alias("both"), F.posexplode(F.slice("parts", F.lit(1), count)).alias("sub", "text"))
+    last = F.col("sub") == F.col("count") - 1
+    ends = F.when(~last, "\r").when(F.col("both") & (F.col("text") != ""), "\r\n").otherwise("\n")
+    return parts.select("file", "start", "seq", "sub", "text", ends.alias("ends"), "valid")
+
+
+def _taken_apart(record: Column) -> tuple[Column, Column]:
+    """The cells of a record, and whether its quotes follow the grammar.
+
+    Cut at its quotes, every second piece of a record lies inside them. Of the others the empty ones between two quotes
+    stand for a quote in a cell; else a quote opens a cell at its start and closes it at its end."""
+    pieces = F.split(F.replace(record, F.lit("\x01"), F.lit(MARK)), '"', -1)
+    last = F.size(pieces) - 1
+
+    def fits(p: Column, i: Column) -> Column:
+        opened = (i == last) | F.endswith(p, F.lit(",")) | ((i == 0) & (p == ""))
+        closed = (i == 0) | F.startswith(p, F.lit(",")) | ((i == last) & (p == ""))
+        return (i % 2 == 1) | ((p == "") & (i > 0) & (i < last)) | (opened & closed)
+
+    def shown(p: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < last), '"').otherwise(F.replace(p, F.lit(","), F.lit(BORDER)))
+
+    cells = F.split(F.array_join(F.transform(pieces, shown), ""), BORDER, -1)
+    cells = F.transform(cells, lambda c: F.replace(c, F.lit(MARK), F.lit("\x01")))
+    return cells, (last % 2 == 0) & F.forall(F.transform(pieces, fits), lambda x: x)
 
 
 def read_records(spark: SparkSession, path: str, key_column: str) -> tuple[DataFrame, DataFrame]:
-    """(records, violations) of quoted comma files, all cells text.
-
-    records: file, record_no, physical_row (start line in the file), key, norm_key, cells MAP. violations:
-    file, physical_row, reason (width, blank-key, duplicate-key, encoding). A broken header is an error.
-    Quoted line breaks make a file unsplittable, so files are the unit of parallel reading."""
-    import re
-    import unicodedata
-
-    first = _options(spark).csv(path).head(1)
-    if not first:
-        raise ValueError("headers and records required")
-    headers = [h or "" for h in first[0]]
-    folded = [unicodedata.normalize("NFC", h).strip() for h in headers]
-    if not all(folded) or len(set(folded)) != len(folded):
-        raise ValueError("blank or repeated header")
-    if key_column not in headers:
-        raise ValueError("unknown key column")
-    columns = [f"c{i}" for i in range(len(headers))]
-    schema = ", ".join(f"{c} string" for c in [*columns, "broken"])
-    raw = (
-        _options(spark).schema(schema).option("header", True).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").csv(path)
-    )
-    lines = lambda c: F.regexp_count(F.coalesce(F.col(c), F.lit("")), F.lit(NEWLINE))
-    span = F.lit(1)
-    for c in columns:
-        span = span + lines(c)
-    d = raw.select(
-        *[F.coalesce(c, F.lit("")).alias(c) for c in columns], "broken", F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("seq"), span.cast("bigint").alias("span"))
-    # Row numbers depend on the scan, so they are fixed before anything reads them twice.
-    d = stage(d)
-    d = ordered.running(d, ["file"], ["seq"], {"before": F.col("span"), "record_no": F.lit(1).cast("bigint")}, inclusive=False)
-    header_lines = 1 + sum(len(re.findall(NEWLINE, h)) for h in headers)
-    cells = F.create_map(*[x for h, c in zip(headers, columns) for x in (F.lit(h), F.col(c))])
-    key = columns[headers.index(key_column)]
-    d = d.select(
-        "file", (F.col("record_no") + 1).alias("record_no"), (F.col("before") + 1 + header_lines).alias("physical_row"),
-        F.col(key).alias("key"), normalize_text(key).alias("norm_key"), cells.alias("cells"), "broken")
-    repeated = d.groupBy("norm_key").agg(F.count("*").alias("n")).filter("n > 1")
+    """(records, violations) of quoted comma files, all cells text, each file under its own header.
+
+    records: file, record_no, physical_row (start line in the file), key, norm_key, cells MAP; those that keep the
+    grammar and have as many cells as their header. violations: file, physical_row, reason (encoding, malformed-quote,
+    unterminated-quote, width, blank-key, duplicate-key; and of whole files, which give no records: header, key-column,
+    no-records). A blank line is a record of one empty cell. A byte order mark is skipped; a record with bytes that are
+    no UTF-8 shows them as U+FFFD.
+
+    One file is read by as many tasks as it has byte ranges: whether a line starts inside quotes follows from the number
+    of quotes before it, a running sum over ranges. The lines of a record meet in one task; those after an unterminated
+    quote don't. A file whose only line breaks are carriage returns is one range; files of no bytes are not seen."""
+    lines = stage(_physical_lines(spark, path))
+    quotes = (F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))).cast("bigint")
+    lines = lines.withColumn("own", quotes)
+    order = {"keys": ["file"], "order": ["seq", "sub"], "block": F.col("start")}
+    lines = stage(ordered.running(lines, sums={"quotes": F.col("own"), "line": F.lit(1).cast("bigint")}, inclusive=False, **order))
+    opens = F.col("quotes") % 2 == 0
+    lines = stage(ordered.running(lines, sums={"record": F.when(opens, 1).otherwise(0).cast("bigint")}, **order))
+    text = F.when(F.col("line") == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+    unended = lines.groupBy("file").agg((F.sum("own") % 2 == 1).alias("unended"), F.max("record").alias("record")).where("unended")
+    lines = lines.withColumn("text", text).join(unended, ["file", "record"], "left").where(F.col("unended").isNull() | opens)
+    joined = lines.groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("line", "text", "ends"))).alias("parts"), F.min("line").alias("first"), F.bool_and("valid").alias("valid"),
+        F.max("unended").alias("unended"))
+    body = F.transform("parts", lambda p, i: F.when(i == F.size("parts") - 1, p["text"]).otherwise(F.concat(p["text"], p["ends"])))
+    joined = joined.withColumn("text", F.array_join(body, ""))
+    # what is cut off from an unterminated record closes for this look at its quotes
+    looked = F.when(F.col("unended"), F.concat("text", F.lit('"'))).otherwise(F.col("text"))
+    cells, fits = _taken_apart(looked)
+    d = stage(joined.select("file", (F.col("record") - 1).alias("record_no"), (F.col("first") + 1).alias("physical_row"), "valid",
+                            F.coalesce("unended", F.lit(False)).alias("unended"), cells.alias("values"), fits.alias("fits")))
+    heads = _headers(d, spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")), key_column)
+    d = d.where("record_no > 0").join(heads.where("reason IS NULL").drop("reason"), "file")
+    # keys are looked at in records that keep the grammar
+    fault = (F.when(~F.col("fits"), "malformed-quote").when(F.col("unended"), "unterminated-quote")
+             .when(F.size("values") != F.size("headers"), "width"))
+    d = stage(d.withColumn("fault", fault))
+    sound = d.where("fault IS NULL").withColumn("key", F.element_at("values", (F.col("at") + 1).cast("int"))).select(
+        "file", "record_no", "physical_row", "key", normalize_text("key").alias("norm_key"), F.map_from_arrays("headers", "values").alias("cells"))
+    repeated = sound.groupBy("norm_key").agg(F.count("*").alias("n")).filter("n > 1")
     where = ["file", "physical_row"]
+    named = lambda rows, reason: rows.select(*where, F.lit(reason).alias("reason"))
     violations = (
-        d.filter("broken IS NOT NULL").select(*where, F.lit("width").alias("reason"))
-        .unionByName(d.filter("norm_key = ''").select(*where, F.lit("blank-key").alias("reason")))
-        .unionByName(d.filter("norm_key <> ''").join(repeated, "norm_key", "left_semi").select(*where, F.lit("duplicate-key").alias("reason")))
-        .unionByName(d.filter(F.exists(F.map_values("cells"), lambda v: F.contains(v, F.lit("�")))).select(*where, F.lit("encoding").alias("reason")))
-    )
-    return d.drop("broken"), violations
+        d.where("fault IS NOT NULL").select(*where, F.col("fault").alias("reason"))
+        .unionByName(named(d.where("NOT valid"), "encoding"))
+        .unionByName(named(sound.filter("norm_key = ''"), "blank-key"))
+        .unionByName(named(sound.filter("norm_key <> ''").join(repeated, "norm_key", "left_semi"), "duplicate-key"))
+        .unionByName(heads.where("reason IS NOT NULL").select("file", F.lit(1).cast("bigint").alias("physical_row"), "reason")))
+    return sound, violations
+
+
+def _headers(d: DataFrame, files: DataFrame, key_column: str) -> DataFrame:
+    """(file, headers, at, reason): the header of every file, the place of its key column, and what makes the file unusable."""
+    folded = F.transform("headers", lambda h: normalize_text(h))
+    first = d.where("record_no = 0").select(
+        F.col("file").alias("f"), F.col("values").alias("headers"), (F.col("fits") & ~F.col("unended") & F.col("valid")).alias("fine"))
+    some = d.where("record_no > 0").select(F.col("file").alias("f")).distinct().withColumn("some", F.lit(True))
+    same = lambda path: F.regexp_replace(path, "^file:/+", "file:/")  # the two readers write local paths with one or three slashes
+    heads = files.join(first.join(some, "f", "left"), same(F.col("file")) == same(F.col("f")), "left").withColumn("file", F.coalesce("f", "file"))
+    at = F.array_position("headers", key_column) - 1
+    reason = (F.when(F.col("some").isNull(), "no-records")
+              .when(~F.col("fine") | F.exists(folded, lambda h: h == "") | (F.size(F.array_distinct(folded)) < F.size("headers")), "header")
+              .when(at < 0, "key-column"))
+    return heads.select("file", "headers", at.alias("at"), reason.alias("reason"))
 
 
 def csv_lines(typed: DataFrame) -> DataFrame:
