@@ -28,7 +28,7 @@ def _physical_lines(spark: SparkSession, path: str) -> DataFrame:
     count = F.size("parts") - F.when(both, 1).otherwise(0)
     parts = raw.select("file", "start", "seq", "valid", count.alias("count"), both.alias("both"), F.posexplode(F.slice("parts", F.lit(1), count)).alias("sub", "text"))
     last = F.col("sub") == F.col("count") - 1
-    ends = F.when(~last, "\r").when(F.col("both") & (F.col("text") != ""), "\r\n").otherwise("\n")
+    ends = F.when(~last, "\r").when(F.col("both"), "\r\n").otherwise("\n")
     return parts.select("file", "start", "seq", "sub", "text", ends.alias("ends"), "valid")
 
 
