@@ -179,38 +179,67 @@ def _occurrences(text: Column, key: Column) -> Column:
     return F.size(F.filter(positions, valid)).cast("bigint")
 
 
+#: Neighbouring runs (or characters) that together look up a key.
+GRAM = 3
+
+
+def _grams(parts: Column, n: int) -> Column:
+    """Hashes of all ``n`` neighbours in an array; empty where there are fewer."""
+    many = F.size(parts) - n + 1
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), many))
+    return F.when(many > 0, F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice(parts, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _looked_up(text: DataFrame, keys: DataFrame, parts: Column) -> DataFrame:
+    """(doc_id, page, span_no, key): spans that may hold keys, by the grams of ``parts``.
+
+    A key is looked up by one of its grams, of as many neighbours as it has parts or GRAM: the one that fewest keys
+    have. So every place in a text leads to the few keys of that gram, however many keys start alike."""
+    sized = keys.select("key", parts.alias("parts"))
+    each = [sized.where(F.size("parts") == n if n < GRAM else F.size("parts") >= n).select("key", F.explode(_grams(F.col("parts"), n)).alias("gram"))
+            for n in range(1, GRAM + 1)]
+    wanted = [r["n"] for r in sized.select(F.least(F.size("parts"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM rows at most
+    grams = each[0].unionByName(each[1]).unionByName(each[2])
+    often = grams.groupBy("gram").agg(F.count_distinct("key").alias("of"))
+    probes = grams.join(often, "gram").groupBy("key").agg(F.min(F.struct("of", "gram"))["gram"].alias("gram"))
+    held = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[_grams(F.col("parts"), n) for n in wanted]))
+    places = text.select(*PAGE, "span_no", parts.alias("parts")).select(*PAGE, "span_no", F.explode(held).alias("gram"))
+    return places.join(probes, "gram").select(*PAGE, "span_no", "key")
+
+
 def find_key_hits(spans: DataFrame, records: DataFrame) -> DataFrame:
     """(doc_id, page, span_no, key, occurrences) for every record key found in a span.
 
     A key made of token characters occurs exactly where a maximal token run equals it, so the
-    search is an equi-join on runs. Any other key is probed by its first run (or, without one,
-    its first character) and then counted exactly.
+    search is an equi-join on runs. In any other key the token runs are maximal runs of the text
+    too, one after the other, and a key without token characters lies inside one run of others:
+    such keys are looked up by a few neighbouring runs or characters, and only the spans this
+    leads to are read again to count exactly.
     """
     keys = records.select(F.col("norm_key").alias("key")).distinct()
-    run = f"[{TOKEN_CLASS}]+"
-    keys = keys.select(
-        "key", F.regexp_substr("key", F.lit(run)).alias("probe"),
-        F.col("key").rlike(f"^{run}$").alias("simple"),
-    )
+    run, rest = f"[{TOKEN_CLASS}]+", f"[^{TOKEN_CLASS}]+"
+    runs = lambda c: F.regexp_extract_all(c, F.lit(run), 0)
+    keys = keys.select("key", F.col("key").rlike(f"^{run}$").alias("simple"), F.col("key").rlike(run).alias("with_runs"))
     text = normalized_spans(spans).select(*PAGE, "span_no", "norm")
-    found = F.regexp_extract_all("norm", F.lit(run), 0)
     plain = (
-        text.select(*PAGE, "span_no", F.explode(found).alias("probe"))
-        .join(keys.filter("simple").select("key", "probe"), "probe")
+        text.select(*PAGE, "span_no", F.explode(runs("norm")).alias("key"))
+        .join(keys.filter("simple").select("key"), "key")
         .groupBy(*PAGE, "span_no", "key").agg(F.count("*").alias("occurrences"))
     )
-    marked = keys.filter("NOT simple AND probe IS NOT NULL").select("key", "probe")
-    other = (
-        text.select(*PAGE, "span_no", "norm", F.explode(F.array_distinct(found)).alias("probe"))
-        .join(marked, "probe").select(*PAGE, "span_no", "norm", "key")
-    )
-    chars = text.select(
-        *PAGE, "span_no", "norm",
-        F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(f"[^{TOKEN_CLASS}]"), 0))).alias("probe"),
-    )
-    bare = keys.filter("probe IS NULL").select("key", F.left("key", F.lit(1)).alias("probe"))
-    other = other.unionByName(chars.join(bare, "probe").select(*PAGE, "span_no", "norm", "key"))
-    counted = other.select(*PAGE, "span_no", "key", _occurrences(F.col("norm"), F.col("key")).alias("occurrences"))
+    marked, bare = keys.filter("NOT simple AND with_runs"), keys.filter("NOT simple AND NOT with_runs AND key <> ''")
+    found = None
+    if not marked.isEmpty():
+        named = lambda d, c: d.withColumn("shown", F.col(c))
+        found = _looked_up(named(text, "norm"), named(marked, "key"), runs("shown"))
+    if not bare.isEmpty():
+        # each run of other characters is a text of its own here, so no gram spans a token
+        others = text.select(*PAGE, "span_no", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(rest), 0))).alias("shown"))
+        more = _looked_up(others, bare.withColumn("shown", F.col("key")), F.split("shown", "")).distinct()
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return plain
+    places = found.join(text, [*PAGE, "span_no"])
+    counted = places.select(*PAGE, "span_no", "key", _occurrences(F.col("norm"), F.col("key")).alias("occurrences"))
     return plain.unionByName(counted.filter("occurrences > 0"))
 
 

@@ -133,8 +133,24 @@ def _blank(spark, sf):
     return r.blank_pages(blanked, _operators(spark, sf))
 
 
+#: Texts about all orders, and keys of several words, with signs or of signs only.
+_TEXTS = """SELECT o_orderkey AS doc_id, 1 AS page, o_custkey AS span_no, 'Ref. Order no. ' || o_orderkey || ', customer #' || o_custkey
+    || '; see Order no. ' || (o_orderkey + 1) || CASE WHEN o_orderkey % 5 = 0 THEN ' §§ and §§' WHEN o_orderkey % 5 = 1 THEN ', Order no. ' || o_orderkey
+    ELSE ' as Order no.' || o_orderkey END AS text FROM orders"""
+_KEYS = """SELECT 'Order no. ' || o_orderkey AS norm_key FROM orders WHERE o_orderkey % 3 > 0 UNION ALL
+    SELECT '#' || c_custkey AS norm_key FROM customer UNION ALL SELECT '§§' AS norm_key UNION ALL SELECT '§§§' AS norm_key"""
+
+
+def _marked_hits(s, sf):
+    for name in ("orders", "customer"):
+        s.read.parquet(f"{sf}/{name}.parquet").createOrReplaceTempView(f"marked_{name}")
+    named = lambda sql: sql.replace("FROM orders", "FROM marked_orders").replace("FROM customer", "FROM marked_customer")
+    return r.find_key_hits(s.sql(named(_TEXTS)), s.sql(named(_KEYS)))
+
+
 QUERIES = {
     "r1_build_spans": _spans,
+    "r2_marked_key_hits": _marked_hits,
     "r2_find_key_hits": lambda s, sf: orders_run(s, sf).hits,
     "r3_anchored_values": lambda s, sf: orders_run(s, sf).anchors,
     "r4_assign_pages": _assigned,
@@ -207,6 +223,9 @@ def _oracle(last: str, upto: str | None = None) -> str:
 ORACLES = {
     "r1_build_spans": _oracle("SELECT doc_id, page, span_no, text, items, cast(length(text) AS bigint) AS end_offset FROM spans", "spans"),
     "r2_find_key_hits": _oracle("SELECT doc_id, page, span_no, key, occurrences FROM hits", "hits"),
+    "r2_marked_key_hits": rf"""WITH texts AS ({_TEXTS}), keys AS (SELECT DISTINCT norm_key AS key FROM ({_KEYS})),
+        runs AS (SELECT doc_id, page, span_no, unnest(regexp_extract_all(text, 'Order no\. [\p{{L}}\p{{N}}\p{{M}}_./-]+|#[\p{{L}}\p{{N}}\p{{M}}_./-]+|§+')) AS key FROM texts)
+        SELECT doc_id, page, span_no, key, count(*) AS occurrences FROM runs JOIN keys USING (key) GROUP BY ALL""",
     "r3_anchored_values": _oracle("SELECT doc_id, page, span_no, rule_no, value FROM anchors", "anchors"),
     "r4_assign_pages": _oracle(
         "SELECT doc_id, page, coalesce(key, '') AS key, n_candidates, key IS NULL AND n_candidates > 0 AS ambiguous FROM assigned", "assigned"),
