@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sheaf.functions import ordered
 from sheaf.functions.numbers import identifier_heading, numeric_literal, plain_number
+from sheaf.functions.stabbing import covering
 from sheaf.functions.text import WS, is_blank, js_trim
 from sheaf.session import stage
 
@@ -25,22 +26,25 @@ def explode_cells(rows: DataFrame) -> DataFrame:
     return rows.select("table_id", "row", F.posexplode("cells").alias("col", "text"))
 
 
-def merge_cells(merges: DataFrame) -> DataFrame:
-    """Every coordinate of every merge, with its anchor flag."""
-    d = merges.withColumn("row", F.explode(F.sequence("start_row", "end_row")))
-    d = d.withColumn("col", F.explode(F.sequence("start_col", "end_col")))
-    anchor = (F.col("row") == F.col("start_row")) & (F.col("col") == F.col("start_col"))
-    return d.withColumn("anchor", anchor)
+def _at_anchor() -> Column:
+    return (F.col("row") == F.col("start_row")) & (F.col("col") == F.col("start_col"))
 
 
-def subordinates(merges: DataFrame) -> DataFrame:
-    well_formed = merges.filter("start_row <= end_row AND start_col <= end_col")
-    return merge_cells(well_formed).filter("NOT anchor").select(*CELL).distinct()
+def _well_formed(merges: DataFrame) -> DataFrame:
+    return merges.filter("start_row >= 0 AND start_col >= 0 AND start_row <= end_row AND start_col <= end_col")
+
+
+def covered_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """The cells that lie in merges, one row per cell and merge, with ``anchor``: whether the cell is the merge's first.
+
+    A merge costs a few rows, however many coordinates it spans; cells that don't exist give none."""
+    return covering(cells, merges, ["table_id"]).withColumn("anchor", _at_anchor())
 
 
 def _flag_subordinates(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    sub = subordinates(merges).withColumn("subordinate", F.lit(True))
-    return cells.join(sub, CELL, "left").withColumn("subordinate", F.coalesce("subordinate", F.lit(False)))
+    sub = covered_cells(cells.select(*CELL), _well_formed(merges)).filter("NOT anchor").select(*CELL).distinct()
+    flagged = cells.join(sub.withColumn("subordinate", F.lit(True)), CELL, "left")
+    return flagged.withColumn("subordinate", F.coalesce("subordinate", F.lit(False)))
 
 
 def column_headings(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -313,17 +317,19 @@ def plan_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     malformed = merges.filter(~formed).select("table_id", "merge_no")
     unique = merges.filter(formed).groupBy("table_id", *shape).agg(F.min("merge_no").alias("merge_no"))
     unique = unique.filter("start_row <> end_row OR start_col <> end_col")
-    covered = merge_cells(unique).join(cells.select(*CELL, "text"), CELL, "left")
-    state = covered.groupBy("table_id", "merge_no").agg(
-        (F.bool_or(F.col("text").isNull()) | F.bool_or(~F.col("anchor") & ~is_blank(F.coalesce("text", F.lit(""))))).alias("bad")
-    )
-    rejected = state.filter("bad").select("table_id", "merge_no")
-    open_cells = stage(
-        merge_cells(unique.join(state.filter("NOT bad").select("table_id", "merge_no"), ["table_id", "merge_no"]))
-        .select("table_id", "merge_no", "row", "col"))
+    merge = ["table_id", "merge_no"]
+    covered = stage(covered_cells(cells.select(*CELL, "text"), unique).select(*merge, "row", "col", "anchor", "text"))
+    state = covered.groupBy(*merge).agg(
+        F.count_distinct(F.when(F.col("text").isNotNull(), F.struct("row", "col"))).alias("held"),
+        F.bool_or(F.col("text").isNull() | ~F.col("anchor") & ~is_blank("text")).alias("bad"))
+    # a merge is whole if it covers as many cells as it has coordinates
+    area = (F.col("end_row") - F.col("start_row") + 1).cast("double") * (F.col("end_col") - F.col("start_col") + 1)
+    state = unique.select(*merge, area.alias("area")).join(state, merge, "left").withColumn(
+        "bad", F.coalesce("bad", F.lit(True)) | (F.col("held") < F.col("area")))
+    rejected = state.filter("bad").select(*merge)
+    open_cells = stage(covered.join(state.filter("NOT bad").select(*merge), merge, "left_semi").select(*merge, "row", "col").distinct())
     skipped = malformed.unionByName(rejected)
     applied = None
-    merge = ["table_id", "merge_no"]
     while True:
         first = open_cells.groupBy(*CELL).agg(F.min("merge_no").alias("first"))
         ranked = open_cells.join(first, CELL).groupBy(*merge).agg(F.bool_and(F.col("first") == F.col("merge_no")).alias("wins"))
@@ -344,7 +350,7 @@ def trace_cell(cells: DataFrame, evidence: DataFrame, merges: DataFrame, selecti
 
     A cell shows its own evidence, else the evidence of the merge that covers it, else a notice."""
     e = evidence.select(*CELL, "page", "source_text")
-    areas = merge_cells(merges.filter("start_row <= end_row AND start_col <= end_col"))
+    areas = covered_cells(selections.select(*CELL).distinct(), _well_formed(merges))
     cover = areas.groupBy(*CELL).agg(F.min_by(F.struct("start_row", "start_col"), "merge_no").alias("m"))
     d = (
         selections.select(*CELL).join(cells.select(*CELL, "text"), CELL, "left")
