@@ -308,11 +308,28 @@ def merge_intervals(rules: DataFrame, horizontal: bool, mode: str = "word") -> D
 
 
 def covered_share(intervals: DataFrame, windows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``windows(key…, w_start, w_end)`` + share of their length covered by the joined intervals."""
-    d = windows.join(intervals.select(*key, "start", "end"), list(key), "left")
-    overlap = F.greatest(F.lit(0.0), F.least("end", "w_end") - F.greatest("start", "w_start"))
-    return d.groupBy(*windows.columns).agg(
-        (F.coalesce(F.sum(overlap), F.lit(0.0)) / (F.col("w_end") - F.col("w_start"))).alias("share"))
+    """``windows(key…, w_start, w_end)`` + share of their length that ``intervals(key…, start, end)`` cover.
+
+    Overlapping intervals count once; an empty window has share 0; repeated windows each give a row. A sweep over all
+    end points keeps how many intervals are open and the length covered so far, in running sums over blocks; a window
+    is the difference of two places of the sweep, so windows and intervals never meet pairwise."""
+    key = list(key)
+    at = lambda rows, x, opens, window: rows.select(*key, F.col(x).cast("double").alias("x"), F.lit(opens).alias("opens"), window.alias("window"), F.lit(x == "w_end").alias("ends"))
+    w = stage(windows.select("*", F.monotonically_increasing_id().alias("__w")))
+    none = F.lit(None).cast("bigint")
+    kept = intervals.filter(F.col("end") > F.col("start"))
+    points = at(kept, "start", 1, none).unionByName(at(kept, "end", -1, none)).unionByName(at(w, "w_start", 0, F.col("__w"))).unionByName(at(w, "w_end", 0, F.col("__w")))
+    # one row per key and place: what opens and closes there, and the windows that ask
+    places = points.groupBy(*key, "x").agg(F.sum("opens").cast("bigint").alias("opens"))
+    block = ordered.block_of("x", 4 * BAND_POINTS)
+    d = ordered.with_previous(places, key, ["x"], ["x"], block=block)
+    d = stage(d.withColumn("step", F.coalesce(F.col("x") - F.col("prev.x"), F.lit(0.0))).drop("prev"))
+    d = stage(ordered.running(d, key, ["x"], {"open": F.col("opens")}, block=block, inclusive=False))
+    d = ordered.running(d, key, ["x"], {"covered": F.when(F.col("open") > 0, F.col("step")).otherwise(F.lit(0.0))}, block=block)
+    asked = points.filter("window IS NOT NULL").join(d.select(*key, "x", "covered"), [*key, "x"])
+    length = asked.groupBy("window").agg(F.sum(F.when(F.col("ends"), F.col("covered")).otherwise(-F.col("covered"))).alias("length"))
+    share = F.when(F.col("w_end") > F.col("w_start"), F.coalesce("length", F.lit(0.0)) / (F.col("w_end") - F.col("w_start"))).otherwise(F.lit(0.0))
+    return w.join(length, F.col("__w") == F.col("window"), "left").select(*windows.columns, share.alias("share"))
 
 
 def ruled_tables(spans: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,28 +6,46 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheaf.functions.text import WS, is_blank, js_trim
 from sheaf.functions.urls import canonical
+from sheaf.session import stage
 
 URLS_PER_BATCH = 10_000
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    many = F.length(text) - n + 1
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), many))
+    return F.when(many > 0, F.transform(at, lambda s: F.substr(text, s, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def search_catalog(items: DataFrame, categories: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """First ``k`` available items, in catalog order, whose text contains the query.
 
     ``items(item_no, href, name, description, category, keywords ARRAY, available)``,
-    ``categories(category, category_name)``, ``queries(query_no, query)``. Items and queries meet on
-    a gram of at most three characters, then the full text is tested; no pair is formed otherwise."""
+    ``categories(category, category_name)``, ``queries(query_no, query)``. Postings hold the item numbers of every gram
+    of three characters that a query has. A query asks for the items of its rarest gram, and only those texts are read
+    again; a query of three characters or fewer is its own gram and needs no look at texts."""
     asked = queries.withColumn("q", F.lower(js_trim("query"))).filter("q <> ''").select("query_no", "q")
     # The same words are searched once however often they are asked.
-    q = asked.select("q").distinct().withColumn("gram", F.left("q", F.lit(3)))
+    q = asked.select("q").distinct()
+    short = F.length("q") <= GRAM
+    wanted = q.select("q", short.alias("short"), F.explode(F.when(short, F.array("q")).otherwise(F.array_distinct(_grams(F.col("q"), GRAM)))).alias("gram"))
     i = items.filter("available AND href IS NOT NULL").join(categories, "category", "left")
     text = F.lower(F.concat_ws(" ", "name", "description", "category", F.coalesce("category_name", F.lit("")), F.array_join("keywords", " ")))
-    i = i.select("item_no", "href", text.alias("t"))
-    starts = F.sequence(F.lit(1), F.length("t"))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*[F.substr(F.col("t"), s, F.lit(n)) for n in (1, 2, 3)]))))
-    hits = i.select("item_no", "href", "t", F.explode(grams).alias("gram")).join(q, "gram").filter(F.contains("t", "q"))
+    i = stage(i.select("item_no", "href", text.alias("t")))
+    grams = F.array_distinct(F.concat(*[_grams(F.col("t"), n) for n in range(1, GRAM + 1)]))
+    postings = stage(i.select("item_no", F.explode(grams).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("of"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("q", "short").agg(F.min(F.struct(F.coalesce("of", F.lit(0)).alias("of"), "gram")).alias("g"))
+    rarest = rarest.filter("g.of > 0").select("q", "short", "g.gram")
+    hits = postings.join(rarest, "gram")
+    tested = hits.filter("NOT short").join(i.select("item_no", "t"), "item_no").filter(F.contains("t", "q"))
+    hits = hits.filter("short").select("q", "item_no").unionByName(tested.select("q", "item_no"))
     order = Window.partitionBy("q").orderBy("item_no")
-    top = hits.select("q", "item_no", "href").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return asked.join(top, "q").select("query_no", "rank", "item_no", "href")
+    top = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return asked.join(top, "q").join(i.select("item_no", "href"), "item_no").select("query_no", "rank", "item_no", "href")
 
 
 def category_members(items: DataFrame, category: Column) -> DataFrame:

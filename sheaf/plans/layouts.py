@@ -23,6 +23,14 @@ def _ocr_lines(s, sf):
     return l.segmented(l.segment_lines(w, "ocr"))
 
 
+def _strips(s, sf):
+    """How much of three strips of every page lies under words."""
+    words = load(s, sf, "fx_spans").select("doc_id", "page", F.floor("x").cast("double").alias("start"), F.floor(F.col("x") + F.col("width")).cast("double").alias("end"))
+    strips = F.array(*[F.struct(F.lit(float(a)).alias("w_start"), F.lit(float(b)).alias("w_end")) for a, b in ((0, 64), (64, 320), (320, 832))])
+    pages = load(s, sf, "fx_spans").select("doc_id", "page").distinct().select("doc_id", "page", F.inline(strips))
+    return l.covered_share(words, pages, ["doc_id", "page"])
+
+
 def _snapped(s, sf):
     pages = load(s, sf, "fx_word_pages").select("doc_id", "page", F.array(F.lit(40.0), F.lit(220.0), F.lit(330.0)).alias("xs"), F.lit(10.0).alias("tolerance"))
     return l.snap_columns(l.segmented(_segments(s, sf)), pages)
@@ -114,6 +122,7 @@ QUERIES = {
     "l7_detect_tables_ocr": lambda s, sf: l.detect_tables_ocr(_ocr_lines(s, sf)).drop("run_no"),
     "l8_ruled_tables": lambda s, sf: l.ruled_tables(load(s, sf, "fx_spans"), load(s, sf, "fx_rules")),
     "l8_borderless_tables": _borderless,
+    "l9_covered_share": _strips,
     "l9_merge_intervals": lambda s, sf: l.merge_intervals(load(s, sf, "fx_rules"), True).drop("band_no"),
     "l9_rule_bands": lambda s, sf: l.merge_intervals(load(s, sf, "fx_rules"), False, "vector").drop("band_no"),
     "l10_grid_components": _components,
@@ -187,6 +196,12 @@ ORACLES = {
         d AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS t, i - CASE WHEN k = 1 THEN 1 ELSE a END AS row FROM c WHERE k IS NOT NULL)
         SELECT doc_id, page, cast(t AS int) AS table_no, cast(d.row AS int) AS row, col, string_agg(text, ' ' ORDER BY x0) AS text FROM (
           SELECT d.*, s.x0, s.text, CASE WHEN k = 1 THEN CASE WHEN x0 = 40 THEN 0 WHEN x0 = 220 THEN 1 ELSE 2 END WHEN x0 < 300 THEN 0 ELSE 1 END AS col FROM d JOIN seg s USING (doc_id, page, line_no)) d GROUP BY doc_id, page, t, d.row, col""",
+    "l9_covered_share": f"""WITH {ctes('fx_spans')}, w AS (SELECT doc_id, page, floor(x)::DOUBLE AS a, floor(x + width)::DOUBLE AS b FROM fx_spans),
+        m AS (SELECT *, max(b) OVER (PARTITION BY doc_id, page ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+        free AS (SELECT doc_id, page, greatest(a, coalesce(reach, a)) AS a, b FROM m WHERE b > greatest(a, coalesce(reach, a))),
+        strips AS (SELECT DISTINCT doc_id, page, w_start, w_end FROM fx_spans, (VALUES (0::DOUBLE, 64::DOUBLE), (64, 320), (320, 832)) v(w_start, w_end))
+        SELECT s.doc_id, s.page, w_start, w_end, coalesce(sum(greatest(0, least(b, w_end) - greatest(a, w_start))), 0) / (w_end - w_start) AS share
+        FROM strips s LEFT JOIN free f ON s.doc_id = f.doc_id AND s.page = f.page GROUP BY ALL""",
     "l9_merge_intervals": f"{_R}, {_N} SELECT doc_id, page, 72 + 42 * i + CASE WHEN i % 2 = 1 THEN 0.5::DOUBLE ELSE 0 END AS position, 30::DOUBLE AS start, 700::DOUBLE AS \"end\" FROM (SELECT *, unnest(generate_series(0, n)) AS i FROM n)",
     "l9_rule_bands": f"""{_R}, p AS (SELECT DISTINCT doc_id, page, x0, y0, y1 FROM fx_rules WHERE x0 = x1), s AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w <= 2.5 THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY doc_id, page, x0 ORDER BY y0)),
         g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0) AS g FROM s) SELECT doc_id, page, x0 AS position, min(y0) AS start, max(y1) AS "end" FROM g GROUP BY doc_id, page, x0, g""",
