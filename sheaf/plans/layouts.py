@@ -200,8 +200,9 @@ ORACLES = {
         m AS (SELECT *, max(b) OVER (PARTITION BY doc_id, page ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
         free AS (SELECT doc_id, page, greatest(a, coalesce(reach, a)) AS a, b FROM m WHERE b > greatest(a, coalesce(reach, a))),
         strips AS (SELECT DISTINCT doc_id, page, w_start, w_end FROM fx_spans, (VALUES (0::DOUBLE, 64::DOUBLE), (64, 320), (320, 832)) v(w_start, w_end))
-        SELECT s.doc_id, s.page, w_start, w_end, coalesce(sum(greatest(0, least(b, w_end) - greatest(a, w_start))), 0) / (w_end - w_start) AS share
-        FROM strips s LEFT JOIN free f ON s.doc_id = f.doc_id AND s.page = f.page GROUP BY ALL""",
+        SELECT doc_id, page, w_start, w_end, covered / (w_end - w_start) AS share FROM (
+          SELECT s.doc_id, s.page, w_start, w_end, coalesce(sum(greatest(0, least(b, w_end) - greatest(a, w_start))), 0) AS covered
+          FROM strips s LEFT JOIN free f ON s.doc_id = f.doc_id AND s.page = f.page GROUP BY ALL)""",
     "l9_merge_intervals": f"{_R}, {_N} SELECT doc_id, page, 72 + 42 * i + CASE WHEN i % 2 = 1 THEN 0.5::DOUBLE ELSE 0 END AS position, 30::DOUBLE AS start, 700::DOUBLE AS \"end\" FROM (SELECT *, unnest(generate_series(0, n)) AS i FROM n)",
     "l9_rule_bands": f"""{_R}, p AS (SELECT DISTINCT doc_id, page, x0, y0, y1 FROM fx_rules WHERE x0 = x1), s AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w <= 2.5 THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY doc_id, page, x0 ORDER BY y0)),
         g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0) AS g FROM s) SELECT doc_id, page, x0 AS position, min(y0) AS start, max(y1) AS "end" FROM g GROUP BY doc_id, page, x0, g""",
