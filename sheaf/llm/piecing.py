@@ -28,6 +28,9 @@ PARTS_KEPT, BYTES_KEPT = 800_000, 32 << 20
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 BPE = 2
+#: Characters of a part whose agenda is kept as a list.
+SHORT = 32
+NEVER = float("inf")
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, object]]:
@@ -81,6 +84,7 @@ class Pieces:
                 normalizer |= dict(_fields(value))
         if trainer.get(3, 1) != BPE:
             raise ValueError("the vocabulary is not of the merge type")
+        self.costs = {p: -x for p, x in self.scores.items()}
         self.unknown = self.kinds.index(UNKNOWN)
         self.unused = {p for p, i in self.own.items() if self.kinds[i] == UNUSED}
         self.bytes_at = {int(n[3:5], 16): i for i, n in enumerate(names) if self.kinds[i] == BYTE}
@@ -105,6 +109,11 @@ class Pieces:
 
     def merged(self, text: str) -> list[int]:
         """Ids of a normalised text."""
+        if len(text) <= SHORT and not self.unused and self.defined is None:
+            out: list[int] = []
+            for s in self._short(text):
+                self._place(s, {}, out)
+            return out
         frozen: set[int] = set()
         if self.defined is None:
             symbols = list(text)
@@ -145,13 +154,33 @@ class Pieces:
             for e in (entry(before[left], left), entry(left, following)):
                 if e:
                     heappush(agenda, e)
-        out: list[int] = []
+        out = []
         for s in symbols:
             if s is not None:
                 self._place(s, halves, out)
         return out
 
+    def _short(self, text: str) -> list[str]:
+        """As ``merged`` with the agenda as a list in text order, of which the best entry is looked for."""
+        symbols, get = list(text), self.costs.get
+        agenda = [get(a + b, NEVER) for a, b in zip(text, text[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], NEVER)
+        return symbols
+
     def _place(self, symbol: str, halves: dict, out: list[int]) -> None:
+        if not halves and symbol in self.own:
+            out.append(self.own[symbol])
+            return
         stack = [symbol]
         while stack:
             s = stack.pop()
@@ -174,20 +203,23 @@ class Pieces:
         taken = self.shown.take(pa.array(flat, pa.int32()))
         offsets = np.frombuffer(taken.buffers()[1], np.int32)[:len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
         data = memoryview(taken.buffers()[2] or b"")
-        odd = np.concatenate(([0], np.cumsum(self.is_byte[flat])))
+        parted = bool(self.silent[flat].any())  # such ids end a run of byte pieces
         out = []
         for n, end in zip(sizes.tolist(), ends.tolist()):
             start = end - n
             lo, hi = int(offsets[start]), int(offsets[end])
-            if odd[end] > odd[start]:
-                out.append(self._with_bytes(flat[start:end]))
-                continue
             if self.strips and n:
                 first = start
                 while first < end - 1 and self.silent[flat[first]]:
                     first += 1
                 lo += bool(self.marked[flat[first]])
-            out.append(bytes(data[lo:hi]).decode())
+            try:
+                shown = bytes(data[lo:hi]).decode()
+            except UnicodeDecodeError:  # runs of byte pieces that are no text
+                shown = None
+            if shown is None or parted and self.silent[flat[start:end]].any():
+                shown = self._with_bytes(flat[start:end])
+            out.append(shown)
         return pa.array(out, pa.string())
 
     def _with_bytes(self, ids: np.ndarray) -> str:

@@ -61,6 +61,14 @@ def test_merges_by_score_then_from_the_left():
     assert cut("ab") == ["a", "b"] and cut("a<x>b") == ["a", "<x>", "b"] and cut("azzb") == ["a", "?", "b"] and cut("") == []
 
 
+def test_short_parts_merge_as_long_ones_do(monkeypatch):
+    p = piecing.Pieces(PATH)
+    some = ["▁" + "".join(RNG.choice("thesanioré.,1▁") for _ in range(RNG.randint(0, 31))) for _ in range(3000)]
+    short = [p.merged(t) for t in some]
+    monkeypatch.setattr(piecing, "SHORT", 0)
+    assert [p.merged(t) for t in some] == short
+
+
 def test_query_over_whole_tables(spark, library):
     sf = "/root/testdata/sf0.01"
     want = set()
@@ -82,7 +90,7 @@ def test_odd_documents(docs_of, library):
 
 def test_a_difference_stops_the_job():
     e = piecing.Encoder(PATH)
-    del e.pieces.scores["▁the"]
+    del e.pieces.costs["▁the"]
     with pytest.raises(AssertionError):
         e.ids(pa.array(["the thing then"]))
     assert np.array_equal(piecing.Encoder(PATH).ids(pa.array([], pa.string()))[1], [0])
