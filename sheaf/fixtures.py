@@ -250,10 +250,18 @@ SELECT doc_id, page, cast(cover_no AS int) AS cover_no, cast(case cover_no when
 FROM (SELECT *, %SEQ(1, 2)% AS cover_no FROM fx_word_pages) p
 """
 
+# Every e-mail address and every word of eight or more lower-case letters of the whole texts. Added cases: marks that
+# overlap another one, and marks that end beyond the text.
+FIXTURES["fx_mark_spans"] = """
+SELECT doc_id, k, stop, size FROM (
+  SELECT doc_id, k, part, length(part) AS size, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (%PARTS%) p) q
+WHERE regexp_extract(part, '^([A-Za-z0-9._-]+@[A-Za-z0-9.-]+|[a-z]{8,}[.]?)$', 1) <> ''
+"""
+
 FIXTURES["fx_marks"] = """
-SELECT doc_id, 'm' || cast(m AS string) AS mark_id, cast(case m when 1 then a when 2 then a + 10 else 90 end AS int) AS start,
-       cast(case when m = 1 and doc_id % 17 = 0 then n + 5 when m = 1 then a + 20 when m = 2 then a + 35 else 100 end AS int) AS end_
-FROM (SELECT doc_id, doc_id % 50 AS a, length(text) AS n, %SEQ(1, 3)% AS m FROM documents) d
+SELECT doc_id, 'm' || cast(k AS string) AS mark_id, cast(stop - size AS int) AS start,
+       cast(case when k < 40 and doc_id % 17 = 0 then stop + 1000000000 else stop end AS int) AS end_ FROM fx_mark_spans
+UNION ALL SELECT doc_id, 'o' || cast(k AS string), cast(greatest(stop - size - 9, 0) AS int), cast(stop - 3 AS int) FROM fx_mark_spans WHERE k % 5 = 0
 """
 
 FIXTURES["fx_policy_docs"] = """
@@ -307,9 +315,13 @@ FROM (SELECT doc_id, line, text FROM (%LINES%) l) m WHERE trim(text) <> ''
 _GENERATOR = re.compile(r"%SEQ\((.*?)\)%", re.S)
 
 
+_PART = "[A-Za-z0-9._@-]+|[^A-Za-z0-9._@-]+"
+
+
 def _spark_text(sql: str) -> str:
     lines = "SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (line, text) FROM documents"
-    return _GENERATOR.sub(r"explode(sequence(\1))", sql).replace("%LINES%", lines)
+    parts = f"SELECT doc_id, posexplode(regexp_extract_all(text, '{_PART}', 0)) AS (k, part) FROM documents"
+    return _GENERATOR.sub(r"explode(sequence(\1))", sql).replace("%LINES%", lines).replace("%PARTS%", parts)
 
 
 def duck_text(sql: str) -> str:
@@ -317,7 +329,9 @@ def duck_text(sql: str) -> str:
         "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, "
         "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents"
     )
-    return _GENERATOR.sub(r"unnest(generate_series(\1))", sql).replace("%LINES%", lines)
+    found = f"regexp_extract_all(text, '{_PART}')"
+    parts = f"SELECT doc_id, unnest({found}) AS part, generate_subscripts({found}, 1) - 1 AS k FROM documents"
+    return _GENERATOR.sub(r"unnest(generate_series(\1))", sql).replace("%LINES%", lines).replace("%PARTS%", parts)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
@@ -347,7 +361,7 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 # Derived inputs that several steps read: written once per session and folder.
-WRITTEN = {"fx_statement_rows", "fx_words", "fx_spans", "fx_rules", "fx_order_items"}
+WRITTEN = {"fx_statement_rows", "fx_words", "fx_spans", "fx_rules", "fx_order_items", "fx_marks"}
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -371,7 +385,7 @@ def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for n in sorted(set(re.findall(r"\bfx_\w+", text))):
         load(spark, sf_dir, n).createOrReplaceTempView(n)
     for t in TABLES:
-        if re.search(rf"\bFROM\s+{t}\b|\bJOIN\s+{t}\b", text) or (t == "documents" and "%LINES%" in text):
+        if re.search(rf"\bFROM\s+{t}\b|\bJOIN\s+{t}\b", text) or (t == "documents" and ("%LINES%" in text or "%PARTS%" in text)):
             load(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(_spark_text(text))
 

@@ -247,10 +247,15 @@ ORACLES = {
     "f11_verify_removal": f"{_W}, {_STEPS} SELECT * FROM vr",
     "f12_combine_status": f"""{_W}, {_STEPS} SELECT doc_id, CASE max(CASE status WHEN 'removal-failed' THEN 2 WHEN 'could-not-verify' THEN 1 ELSE 0 END) WHEN 2 THEN 'removal-failed' WHEN 1 THEN 'could-not-verify' ELSE 'verified-removed' END AS status,
         cast(sum(before) AS bigint) AS before, cast(sum(after) AS bigint) AS after FROM vr GROUP BY doc_id""",
-    "f13_redact": f"""WITH {_MARKS}, r AS (SELECT doc_id, text AS src, doc_id % 50 AS a FROM documents WHERE doc_id IN (SELECT doc_id FROM fx_marks) AND doc_id NOT IN (SELECT doc_id FROM bad)),
-        t AS (SELECT *, left(src, a) || repeat('█', 35) || substr(src, a + 36, 90 - a - 35) || repeat('█', 10) || substr(src, 101) AS red FROM r),
-        u AS (SELECT *, contains(red, substr(src, a + 1, 35)) OR contains(red, substr(src, 91, 10)) AS residue FROM t)
-        SELECT doc_id, md5(red) AS text, cast(45 AS bigint) AS masked, length(src) - 45 AS preserved, true AS gone, true AS unchanged, residue, CASE WHEN residue THEN 'failed' ELSE 'passed' END AS status FROM u""",
+    "f13_redact": f"""WITH {_MARKS}, g AS (SELECT * FROM fx_marks WHERE doc_id NOT IN (SELECT doc_id FROM bad)),
+        w AS (SELECT doc_id, start, end_, max(end_) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+        v AS (SELECT *, sum(CASE WHEN reach >= start THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS island FROM w),
+        c AS (SELECT doc_id, island, min(start) AS a, max(end_) AS b FROM v GROUP BY ALL),
+        e AS (SELECT c.*, text, coalesce(lag(b) OVER (PARTITION BY c.doc_id ORDER BY island), 0) AS before FROM c JOIN documents USING (doc_id)),
+        t AS (SELECT doc_id, string_agg(substr(text, before + 1, a - before) || repeat('█', b - a), '' ORDER BY island) || substr(any_value(text), max(b) + 1) AS red,
+          list(substr(text, a + 1, b - a)) FILTER (b - a >= 4) AS secrets, cast(sum(b - a) AS bigint) AS masked, any_value(length(text)) AS n FROM e GROUP BY doc_id),
+        u AS (SELECT *, coalesce(len(list_filter(secrets, lambda s: contains(red, s))) > 0, false) AS residue FROM t)
+        SELECT doc_id, md5(red) AS text, masked, n - masked AS preserved, true AS gone, true AS unchanged, residue, CASE WHEN residue THEN 'failed' ELSE 'passed' END AS status FROM u""",
     "f13_mark_problems": f"WITH {_MARKS} SELECT * FROM bad",
     "f14_preflight": f"WITH {_POLICY} SELECT doc_id, key, label, state FROM lb",
     "f15_preflight_plan": f"""WITH {_POLICY}, x AS (SELECT doc_id, CASE state WHEN 'pass' THEN 'passed' WHEN 'can-fix' THEN 'can_fix' WHEN 'not-checked' THEN 'not_checked' ELSE 'needs_decision' END AS b,
