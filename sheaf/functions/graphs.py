@@ -30,18 +30,20 @@ def closure(seeds: DataFrame, edges: DataFrame, keys: list[str], max_depth: int
 
 
 def successors_outside(removed: DataFrame, nexts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, node, kept): for each removed node the first kept nodes down its successor chain."""
+    """(keys…, node, kept): for each removed node the first kept nodes down its successor chain.
+
+    Pointers double: after round i every removed node points 2^i steps ahead, or at the kept nodes met before. So rounds
+    are logarithmic in the longest chain; 2^i steps beyond the removed nodes of a key can only be cycles."""
     node = [*keys, "node"]
-    gone = removed.select(*node)
-    step = nexts.select(*keys, F.col("src").alias("at"), F.col("dst").alias("to"))
-    pairs = stage(gone.withColumn("at", F.col("node")))
-    seen, out = pairs, None
-    while True:
-        moved = pairs.join(step, [*keys, "at"]).select(*node, F.col("to").alias("at")).distinct()
-        at_gone = gone.select(*keys, F.col("node").alias("at"))
-        kept = moved.join(at_gone, [*keys, "at"], "left_anti").select(*node, F.col("at").alias("kept"))
-        out = stage(kept) if out is None else out.unionByName(stage(kept))
-        pairs = stage(moved.join(at_gone, [*keys, "at"], "left_semi").join(seen, [*node, "at"], "left_anti"))
-        if pairs.isEmpty():
-            return out.distinct()
-        seen = seen.unionByName(pairs)
+    gone = stage(removed.select(*node).distinct())
+    at_gone = gone.select(*keys, F.col("node").alias("at"), F.lit(True).alias("open"))
+    step = nexts.select(*keys, F.col("src").alias("node"), F.col("dst").alias("at")).distinct()
+    jumps = gone.join(step, node).join(at_gone, [*keys, "at"], "left")
+    jumps = stage(jumps.select(*node, "at", F.coalesce("open", F.lit(False)).alias("open")))
+    most, steps = gone.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0, 1
+    while steps < most and not jumps.filter("open").isEmpty():
+        far = jumps.select(*keys, F.col("node").alias("at"), F.col("at").alias("__far"), F.col("open").alias("__open"))
+        ahead = jumps.filter("open").join(far, [*keys, "at"]).select(*node, F.col("__far").alias("at"), F.col("__open").alias("open"))
+        jumps = stage(jumps.filter("NOT open").unionByName(ahead).distinct())
+        steps *= 2
+    return jumps.filter("NOT open").select(*node, F.col("at").alias("kept"))
