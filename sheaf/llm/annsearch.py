@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sheaf.session import stage
 
+#: Components up to this size have finite sums of squares.
+SAFE = 1e145
+#: Stands for a null id where ids settle ties: after all others.
+NO_ID = (1 << 63) - 1
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -137,52 +142,66 @@ def _back(x, norms, graph, new, settings) -> None:
 
 
 def clean_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part: not null, not zero, all components finite.
+    """row, vec_id and embedding (doubles) of the vectors that take part: not null, not zero, all components finite.
 
-    Of rows with one id the least vector counts; rows with a null id take no part."""
-    v = F.col("v")
-    rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    ``row`` tells rows apart that repeat an id or have none; it holds once the result is written."""
+    v = F.col("embedding")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("bigint").alias("vec_id"),
+                     F.col(embedding).cast("array<double>").alias("embedding"))
     fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(fine).groupBy("vec_id").agg(F.min("v").alias("embedding"))
+    return rows.where(v.isNotNull()).where(fine)
+
+
+def _within_range(x: np.ndarray, largest: float) -> np.ndarray:
+    """The vectors at a scale at which sums of squares are finite; nearness keeps its order."""
+    return x if largest <= SAFE else x / (largest / SAFE)
+
+
+def _distances(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances of (b, c, d) vectors from (b, d) queries; very large ones are scaled before they are squared."""
+    apart = np.abs(x - queries[:, None])
+    largest = apart.max(axis=2, initial=0.0)
+    scale = np.where((largest > SAFE) & np.isfinite(largest), largest, 1.0)[:, :, None]
+    return np.sqrt(((apart / scale) ** 2).sum(axis=2)) * scale[:, :, 0]
 
 
 def build_index(vectors: DataFrame, shard_rows: int = 4096, settings: Settings = Settings()) -> DataFrame:
-    """(shard, pos, vec_id, embedding, neighbours, entry): every vector in the graph of its shard.
+    """(shard, pos, node, vec_id, embedding, neighbours, entry): every vector in the graph of its shard.
 
-    ``vectors`` is a written result of ``clean_vectors``. Equal vectors would only point at each other, so one of them
-    is indexed; ``copies`` holds its ids. Vectors of different lengths never share a shard."""
-    distinct = stage(vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")))
+    ``vectors`` is a written result of ``clean_vectors``. Equal vectors would only point at each other, so they are
+    indexed once, as ``node`` (their least row) with their smallest id. Vectors of different lengths never share a shard."""
+    distinct = stage(vectors.groupBy("embedding").agg(F.min("row").alias("node"), F.coalesce(F.min("vec_id"), F.lit(NO_ID)).alias("vec_id")))
     shards = max(1, math.ceil(distinct.count() / shard_rows))
-    placed = distinct.select((F.size("embedding").cast("bigint") * shards + F.pmod(F.xxhash64("vec_id"), F.lit(shards))).alias("shard"), "vec_id", "embedding")
-    schema = "shard bigint, pos int, vec_id bigint, embedding array<double>, neighbours array<int>, entry boolean"
+    placed = distinct.select((F.size("embedding").cast("bigint") * shards + F.pmod(F.xxhash64("node"), F.lit(shards))).alias("shard"), "node", "vec_id", "embedding")
+    schema = "shard bigint, pos int, node bigint, vec_id bigint, embedding array<double>, neighbours array<int>, entry boolean"
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id").combine_chunks()
+        table = table.sort_by("node").combine_chunks()
         n = table.num_rows
         x = table["embedding"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        graph, entry = build(x, settings)
+        graph, entry = build(_within_range(x, np.abs(x).max()), settings)
         marks = np.zeros(n, bool)
         marks[entry] = True
         rows = pa.FixedSizeListArray.from_arrays(pa.array(graph.astype(np.int32).ravel()), graph.shape[1]).cast(pa.list_(pa.int32()))
-        return pa.table([table["shard"], pa.array(np.arange(n, dtype=np.int32)), table["vec_id"], table["embedding"], rows, pa.array(marks)],
-                        names=["shard", "pos", "vec_id", "embedding", "neighbours", "entry"])
+        return pa.table([table["shard"], pa.array(np.arange(n, dtype=np.int32)), table["node"], table["vec_id"], table["embedding"], rows, pa.array(marks)],
+                        names=["shard", "pos", "node", "vec_id", "embedding", "neighbours", "entry"])
 
     return placed.groupBy("shard").applyInArrow(run, schema)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int = 4096, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, vec_id, score): the ``k`` + 1 nearest indexed vectors that each shard's beam search finds for each query.
+    """(query, node, vec_id, score): the ``k`` + 1 nearest indexed vectors that each shard's beam search finds for each query.
 
-    A query is in one block of about ``query_block``; every shard meets every block, so no task holds all queries.
+    ``query`` is the row of the query in ``queries`` (row, embedding), a part of a written ``clean_vectors``. A query is in one block of about ``query_block``; every shard meets every block, so no task holds all queries.
     Distances are computed anew in double precision from the given vectors."""
     blocks = max(1, math.ceil(queries.count() / query_block))
-    numbered = queries.select(F.col("vec_id").alias("query_id"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    numbered = queries.select(F.col("row").alias("query"), "embedding", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"))
     shards = index.select(F.col("shard").alias("s"), F.size("embedding").alias("n")).distinct()  # one row per shard
     asked = numbered.join(F.broadcast(shards), F.size("embedding") == F.col("n")).select(
-        F.col("s").alias("shard"), F.col("block").alias("part"), "query_id", F.col("embedding").alias("vector"))
+        F.col("s").alias("shard"), F.col("block").alias("part"), "query", F.col("embedding").alias("vector"))
     spread = index.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    schema = "query_id bigint, vec_id bigint, score double"
-    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = "query bigint, node bigint, vec_id bigint, score double"
+    kinds = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -192,18 +211,19 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, query_block:
         x = left["embedding"].combine_chunks().flatten().to_numpy().reshape(n, -1)
         q = right["vector"].combine_chunks().flatten().to_numpy().reshape(m, -1)
         graph = left["neighbours"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        entry, names, asked_by = np.flatnonzero(left["entry"].to_numpy()), left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        norms, out = (x ** 2).sum(axis=1), []
+        entry, names, asked_by = np.flatnonzero(left["entry"].to_numpy()), left["vec_id"].to_numpy(), right["query"].to_numpy()
+        nodes, largest, out = left["node"].to_numpy(), max(np.abs(x).max(), np.abs(q).max()), []
+        near_x, near_q = _within_range(x, largest), _within_range(q, largest)
+        norms = (near_x ** 2).sum(axis=1)
         for at in range(0, m, settings.batch):
-            some = q[at:at + settings.batch]
-            ids, _ = search(x, norms, graph, entry, some, settings.search_beam)
+            ids, _ = search(near_x, norms, graph, entry, near_q[at:at + settings.batch], settings.search_beam)
             ids = ids[:, :4 * (k + 1)]
-            exact = np.sqrt(((x[ids] - some[:, None]) ** 2).sum(axis=2))
-            exact[ids < 0] = np.inf
-            order = np.lexsort((np.broadcast_to(names[ids], ids.shape), exact), axis=1)[:, :k + 1]
+            exact = _distances(x[ids], q[at:at + settings.batch])
+            order = np.lexsort((names[ids], exact, ids < 0), axis=1)[:, :k + 1]
             near, who = np.take_along_axis(exact, order, axis=1), np.take_along_axis(ids, order, axis=1)
-            row, col = np.nonzero(np.isfinite(near))
-            out.append(pa.table([pa.array(asked_by[at + row]), pa.array(names[who[row, col]]), pa.array(near[row, col])], schema=kinds))
+            row, col = np.nonzero(who >= 0)
+            found = who[row, col]
+            out.append(pa.table([pa.array(asked_by[at + row]), pa.array(nodes[found]), pa.array(names[found]), pa.array(near[row, col])], schema=kinds))
         return pa.concat_tables(out)
 
     return spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "part")).applyInArrow(run, schema)
@@ -213,19 +233,27 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest other vectors found for each vector whose id ``every`` divides.
 
-    Nearness is Euclidean distance, ties go to the smaller id. Copies of a vector are found with it: at most ``k`` + 1
-    of the smallest ids of equal vectors can be among the nearest, so no more are looked at. Null, zero and non-finite
-    vectors and null ids take no part; of repeated ids the least vector counts. Fewer vectors than ``k``: all of them.
-    An empty table gives an empty result; other columns are not read."""
+    Nearness is Euclidean distance, ties go to the smaller id, null ids come last. Every row but the query's own is a
+    candidate: rows that repeat an id are neighbours of each other, a row without an id is found but asks nothing, and
+    each row of a repeated id asks for itself. Copies of a vector are found with it: at most ``k`` + 1 of the smallest
+    ids of equal vectors can be among the nearest, so no more are looked at. Null, zero and non-finite vectors take no
+    part. Fewer candidates than ``k``: all of them. An empty table gives an empty result; other columns are not read."""
     vectors = stage(clean_vectors(df, vec_id, embedding))
     index = stage(build_index(vectors, shard_rows, settings))
-    found = stage(search_index(index, vectors.where(F.col("vec_id") % every == 0), k, settings=settings))
-    first = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
-    same = vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).where("n > 1").select("vec_id", "embedding")
-    spread = vectors.withColumnRenamed("vec_id", "copy").join(same, "embedding").select("vec_id", "copy")
-    nth = F.row_number().over(Window.partitionBy("vec_id", F.pmod(F.xxhash64("copy"), F.lit(64))).orderBy("copy"))
-    few = spread.withColumn("n", nth).where(F.col("n") <= k + 1).groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list("copy")), 1, k + 1).alias("copies"))
-    widened = top.join(few, "vec_id", "left").select("query_id", "score", F.explode(F.coalesce("copies", F.array("vec_id"))).alias("vec_id"))
-    return (widened.where("query_id <> vec_id").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    queries = vectors.where(F.col("vec_id") % every == 0)
+    found = stage(search_index(index, queries, k, settings=settings))
+    first = Window.partitionBy("query").orderBy("score", "vec_id", "node")
+    top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select(
+        "query", "node", "score", F.when(F.col("vec_id") < NO_ID, F.col("vec_id")).alias("vec_id"))
+    same = vectors.groupBy("embedding").agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1").select("node", "embedding")
+    copy = F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "row")
+    spread = vectors.join(same, "embedding").select("node", copy.alias("copy"))
+    nth = F.row_number().over(Window.partitionBy("node", F.pmod(F.xxhash64("copy.row"), F.lit(64))).orderBy("copy"))
+    few = spread.withColumn("n", nth).where(F.col("n") <= k + 1).groupBy("node").agg(F.slice(F.sort_array(F.collect_list("copy")), 1, k + 1).alias("copies"))
+    # a vector without copies is its own node, so its id is that of the row
+    single = F.array(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", F.col("node").alias("row")))
+    widened = top.join(few, "node", "left").select("query", "score", F.explode(F.coalesce("copies", single)).alias("copy"))
+    nearest_first = Window.partitionBy("query").orderBy("score", "copy")
+    ranked = (widened.where(F.col("query") != F.col("copy.row")).withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k))
+    return ranked.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select(
+        "query_id", "rank", F.col("copy.vec_id").alias("vec_id"), "score")

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,27 +108,49 @@ def test_toxicity_held_out_and_edges(spark, docs_of):
 
 
 def exact_nearest(rows, every, k):
-    out = set()
-    for q, v in rows.items():
-        if q % every == 0:
-            near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows.items() if i != q and len(w) == len(v))[:k]
-            out |= {(q, r + 1, i, round(d, 9)) for r, (d, i) in enumerate(near)}
+    """Counts of (query_id, rank, vec_id, score) over all rows (id, vector) but the query's own."""
+    out = Counter()
+    for at, (q, v) in enumerate(rows):
+        if q is not None and q % every == 0:
+            near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i is None, i or 0)
+                          for n, (i, w) in enumerate(rows) if n != at and len(w) == len(v))[:k]
+            out.update((q, r + 1, None if none else i, float(f"{d:.9g}")) for r, (d, none, i) in enumerate(near))
     return out
 
 
+def found_nearest(df, **settings):
+    return Counter((r["query_id"], r["rank"], r["vec_id"], float(f"{r['score']:.9g}")) for r in annsearch.nearest(df, **settings).collect())
+
+
+VECTORS = "vec_id bigint, embedding array<double>"
+
+
 def test_small_search_is_exact(spark):
     rng = random.Random(8)
-    rows = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(150)}
-    rows.update({200 + i: [1.0] * 6 for i in range(60)})  # many copies
-    rows.update({300: [1.0, 2.0], 400: [2.0, 2.0], 401: [2.0, 2.0]})
-    bad = [(1000, None), (1001, [0.0] * 6), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, [None] * 6), (None, [1.0] * 6), (1005, [])]
-    again = [(7, [v + 1 if k == 0 else v for k, v in enumerate(rows[7])]), (7, rows[7])]
-    df = spark.createDataFrame([*rows.items(), *bad, *again], "vec_id bigint, embedding array<double>").withColumn("shard", F.lit("x"))
-    got = annsearch.nearest(df, every=20, shard_rows=40).collect()
-    assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got} == exact_nearest(rows, 20, 10)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    rows += [(200 + i, [1.0] * 6) for i in range(60)]  # many copies
+    rows += [(300, [1.0, 2.0]), (400, [2.0, 2.0]), (401, [2.0, 2.0]), (None, [1.0] * 6), (None, [2.0, 2.0])]
+    rows += [(7, rows[7][1]), (7, [v + 1 for v in rows[7][1]]), (40, rows[40][1]), (40, [0.5] * 6)]
+    bad = [(1000, None), (1001, [0.0] * 6), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, [None] * 6), (1005, [])]
+    df = spark.createDataFrame([*rows, *bad], VECTORS).withColumn("shard", F.lit("x"))
+    assert found_nearest(df, every=20, shard_rows=40) == exact_nearest(rows, 20, 10)
     assert annsearch.nearest(df.limit(0)).count() == 0
 
 
+def test_search_repeated_and_missing_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [0.0, 1.0])]
+    got = found_nearest(spark.createDataFrame(rows, VECTORS))
+    assert got == exact_nearest(rows, 100, 10) and got[(100, 1, 100, 0.0)] == 2 and sum(got.values()) == 8
+    none = [(None, [1.0, 0.0]), (None, [1.0, 0.0])]
+    assert annsearch.nearest(spark.createDataFrame(none, VECTORS)).count() == 0
+
+
+def test_search_of_very_large_components(spark):
+    rows = [(i * 100, [float(i) * 1e200, 1e200, -3e180]) for i in range(1, 40)]
+    got = annsearch.nearest(spark.createDataFrame(rows, VECTORS)).where("query_id = 2000 and rank <= 2").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1900, pytest.approx(1e200)), (2100, pytest.approx(1e200))]
+
+
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
 def test_search_recall(spark, folder):
     sf = f"/root/testdata/{folder}"
