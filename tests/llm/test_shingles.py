@@ -116,3 +116,25 @@ def test_pipeline_stage_finds_every_similar_pair(spark, folder):
     pairs, want = least_of_groups({r["doc_id"]: plain_set(r["text"]) for r in docs.collect()})
     got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).select("doc_id").collect()}
     assert pairs and got == want
+
+
+def test_rarest_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    levels = rng.integers(1, 4, 1 << 10).astype(np.uint8)
+    for n in [1, 2, 4, 5, 6, 9, 10, 11, 50, 333]:
+        for _ in range(20):
+            one = np.unique(rng.integers(-1 << 62, 1 << 62, n))
+            swapped = len(one) // 9  # overlap n - k of a union of n + k: 0.8 or more while k is at most n / 9
+            other = np.unique(np.concatenate((one[rng.permutation(len(one))[swapped:]], rng.integers(-1 << 62, 1 << 62, swapped))))
+            assert set(shingles.rarest(one, levels)) & set(shingles.rarest(other, levels))
+    levels[:] = 0
+    assert not len(shingles.rarest(one, levels))
+    assert not len(shingles.rarest(one[:0], levels))
+
+
+def test_bit_maps_hold_the_ends(spark):
+    last = shingles.FILTER_BITS - 1
+    rows = spark.createDataFrame([(0, 1), (32767, 2), (32768, 9), (last, 9), (last, 1)], "bit bigint, of bigint")
+    every, common = shingles._bit_maps(rows, ("true", "of > 8"))
+    assert np.flatnonzero(every).tolist() == [0, 32767, 32768, last] and np.flatnonzero(common).tolist() == [32768, last]
+    assert not shingles._bit_maps(rows.limit(0)).any()
