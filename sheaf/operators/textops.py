@@ -50,11 +50,13 @@ def text_stats(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def corpus_rollup(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
-    """Totals and word-count percentiles per group; every aggregate combines map-side."""
+    """Totals and the exact lower median of the word counts per group; every aggregate combines map-side.
+
+    The median counts how often each word count occurs, so a group keeps a row per distinct count, not per text."""
     return text_stats(df, text, by).groupBy(*by).agg(
         F.count("*").alias("texts"), F.sum("characters").alias("characters"), F.sum("words").alias("words"),
         F.sum("sentences").alias("sentences"), F.sum("paragraphs").alias("paragraphs"),
-        F.max("words").alias("max_words"), F.percentile_approx("words", 0.5, 10000).alias("median_words"),
+        F.max("words").alias("max_words"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY words)").alias("median_words"),
     )
 
 
