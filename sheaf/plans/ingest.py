@@ -108,7 +108,7 @@ QUERIES = {
     "k1_extract": _extracted,
 }
 
-_CUST = """c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 101 = 0 THEN '' WHEN c_custkey % 97 = 0 THEN 'same' ELSE 'K' || lpad(cast(c_custkey AS varchar), 6, '0') END AS norm_key,
+_CUST = """c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 101 = 0 THEN '' WHEN c_custkey % 97 = 0 THEN 'same' ELSE printf('K%06d', c_custkey) END AS norm_key,
     CASE WHEN c_custkey % 7 = 0 THEN c_name || ', "x"' || chr(10) || 'second' ELSE c_name END AS name, cast(cast(c_acctbal AS decimal(18,2)) AS varchar) AS balance FROM customer)"""
 _Q = lambda c: f"""CASE WHEN regexp_matches({c}, '[",]') THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END"""
 _MEDIA = """m AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 7 AS t,
