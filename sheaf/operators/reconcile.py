@@ -190,6 +190,12 @@ def _grams(parts: Column, n: int) -> Column:
     return F.when(many > 0, F.transform(at, lambda i: F.xxhash64(F.lit(n), F.slice(parts, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """Keys, grams and spans grow with the records: their estimate is that of packed files, so none of them is sent whole
+    through the driver."""
+    return side.hint("merge")
+
+
 def _looked_up(text: DataFrame, keys: DataFrame, parts: Column) -> DataFrame:
     """(doc_id, page, span_no, key): spans that may hold keys, by the grams of ``parts``.
 
@@ -201,10 +207,10 @@ def _looked_up(text: DataFrame, keys: DataFrame, parts: Column) -> DataFrame:
     wanted = [r["n"] for r in sized.select(F.least(F.size("parts"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM rows at most
     grams = each[0].unionByName(each[1]).unionByName(each[2])
     often = grams.groupBy("gram").agg(F.count_distinct("key").alias("of"))
-    probes = grams.join(often, "gram").groupBy("key").agg(F.min(F.struct("of", "gram"))["gram"].alias("gram"))
+    probes = grams.join(_shuffled(often), "gram").groupBy("key").agg(F.min(F.struct("of", "gram"))["gram"].alias("gram"))
     held = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[_grams(F.col("parts"), n) for n in wanted]))
     places = text.select(*PAGE, "span_no", parts.alias("parts")).select(*PAGE, "span_no", F.explode(held).alias("gram"))
-    return places.join(probes, "gram").select(*PAGE, "span_no", "key")
+    return places.join(_shuffled(probes), "gram").select(*PAGE, "span_no", "key")
 
 
 def find_key_hits(spans: DataFrame, records: DataFrame) -> DataFrame:
@@ -223,7 +229,7 @@ def find_key_hits(spans: DataFrame, records: DataFrame) -> DataFrame:
     text = normalized_spans(spans).select(*PAGE, "span_no", "norm")
     plain = (
         text.select(*PAGE, "span_no", F.explode(runs("norm")).alias("key"))
-        .join(keys.filter("simple").select("key"), "key")
+        .join(_shuffled(keys.filter("simple").select("key")), "key")
         .groupBy(*PAGE, "span_no", "key").agg(F.count("*").alias("occurrences"))
     )
     marked, bare = keys.filter("NOT simple AND with_runs"), keys.filter("NOT simple AND NOT with_runs AND key <> ''")
@@ -238,7 +244,7 @@ def find_key_hits(spans: DataFrame, records: DataFrame) -> DataFrame:
         found = more if found is None else found.unionByName(more)
     if found is None:
         return plain
-    places = found.join(text, [*PAGE, "span_no"])
+    places = found.join(_shuffled(text), [*PAGE, "span_no"])
     counted = places.select(*PAGE, "span_no", "key", _occurrences(F.col("norm"), F.col("key")).alias("occurrences"))
     return plain.unionByName(counted.filter("occurrences > 0"))
 
