@@ -1,9 +1,11 @@
 """Steps that only larger tables tell apart: plans, exact medians, long keys."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from sheaf.operators import reconcile, textops
+from sheaf.operators import layout, reconcile, textops
 from sheaf.plans import ingest
 
 
@@ -34,3 +36,28 @@ def test_record_keys_of_seven_digits(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     got = ingest.QUERIES["s1_record_violations"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(ingest.ORACLES["s1_record_violations"]).fetchall())
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_pages_take_one_shuffle(spark):
+    """Lines, their text, segments, runs and bands follow from one shuffle by page, and equal a plain walk down the page."""
+    rng = random.Random(8)
+    rows = [(p % 2, p, i, "w", float(rng.randrange(300)), rng.randrange(400) / 4, 5.0, float(rng.randrange(2, 14))) for p in range(6) for i in range(60)]
+    spans = spark.createDataFrame(rows, "doc_id int, page int, span_no int, text string, x double, y double, width double, size double")
+    for mode, limit in (("word", lambda a, s: max(1.0, 0.3 * min(a, s))), ("text", lambda a, s: 0.45 * max(a, s, 1.0))):
+        got = {(r.page, r.span_no): r.line_no for r in layout.cluster_lines(spans, mode).collect()}
+        for page in range(6):
+            line, anchor, size = 0, None, 0.0
+            for r in sorted((r for r in rows if r[1] == page), key=lambda r: (r[5], r[4], r[2])):
+                if anchor is None or r[5] - anchor > limit(size, r[7]):
+                    line, anchor, size = line + 1, r[5], 0.0
+                size = max(size, r[7])
+                assert got[page, r[2]] == line
+    lined = layout.cluster_lines(spans)
+    words = lined.withColumns({"x0": F.col("x"), "x1": F.col("x") + F.col("width")})
+    rules = spans.select("doc_id", "page", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), (F.col("y") + 9).alias("y1"))
+    for df in (layout.line_text(lined), layout.detect_tables(layout.segmented(layout.segment_lines(words))), layout.merge_intervals(rules, False, "vector")):
+        assert _exchanges(df) == 1
