@@ -5,7 +5,8 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from sheaf.operators import layout, reconcile, textops
+from sheaf.functions.stabbing import stretches
+from sheaf.operators import layout, reconcile, tables, textops
 from sheaf.plans import ingest
 
 
@@ -63,3 +64,34 @@ def test_pages_take_one_shuffle_a_state(spark):
     tables = layout.detect_tables(layout.segmented(layout.segment_lines(words)))
     for df, most in ((layout.line_text(lined), 2), (tables, 3), (layout.merge_intervals(rules, False, "vector"), 2)):
         assert _exchanges(df) <= most
+
+
+def test_table_checks_shuffle_cells_once(spark):
+    """Types, merges, total rows and sections of a table follow one shuffle of its cells; grand totals sum the sections before."""
+    rows = [("t", r, c, x) for r, line in enumerate([("Item", "A"), ("a", "1"), ("b", "2"), ("Subtotal", "3"), ("c", "4"), ("d", "5"), ("Subtotal", "9"), ("Grand total", "12")])
+            for c, x in enumerate(line)]
+    cells = spark.createDataFrame(rows, "table_id string, row int, col int, text string")
+    headers = spark.createDataFrame([("t", 1)], "table_id string, header_rows int")
+    merges = spark.createDataFrame([("t", 1, 0, 0, 0, 1)], "table_id string, merge_no int, start_row int, end_row int, start_col int, end_col int")
+    totals = tables.reconcile_totals(tables.conservative_cast(cells, headers), merges, headers)
+    assert _exchanges(totals) <= 10
+    assert sorted((r["row"], r["label"], r["status"], int(r["expected"])) for r in totals.collect()) == [
+        (3, "subtotal", "PASS", 3), (6, "subtotal", "PASS", 9), (7, "grand-total", "PASS", 12)]
+
+
+def test_tables_of_many_merges(spark):
+    """Tables with more merges than are looked through one by one give the same cells."""
+    cells = spark.createDataFrame([(t, r, c, "x") for t in "fm" for r in range(200) for c in range(3)], "table_id string, row int, col int, text string")
+    some = [("f", i, 9 * i, 9 * i + 2, 0, 1) for i in range(20)] + [("m", i, 2 * i, 2 * i + 1, 1, 2) for i in range(tables.FEW_MERGES + 20)]
+    merges = spark.createDataFrame(some, "table_id string, merge_no int, start_row int, end_row int, start_col int, end_col int")
+    want = {(t, r, c) for t, _, r0, r1, c0, c1 in some for r in range(r0, r1 + 1) for c in range(c0, c1 + 1) if r < 200 and (r, c) != (r0, c0)}
+    assert {tuple(r)[:3] for r in tables._flag_subordinates(cells, merges).filter("subordinate").collect()} == want
+    evidence = spark.createDataFrame([(t, r0, c0, r0, "e") for t, _, r0, _, c0, _ in some], "table_id string, row int, col int, page int, source_text string")
+    traced = {(r["table_id"], r["row"], r["col"]): (r["anchor_row"], r["page"]) for r in tables.trace_cell(cells, evidence, merges, cells).filter("notice = 'merged-subordinate'").collect()}
+    first = {(t, r, c): r0 for t, _, r0, r1, c0, c1 in some for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)}
+    assert traced == {k: (first[k], first[k]) for k in want}
+
+
+def test_stretches_look_at_as_many_levels_as_the_interval_has(spark):
+    one = spark.range(1).select(stretches(F.lit(7), F.lit(7)).alias("s"))
+    assert "sequence(0, 62" not in one._jdf.queryExecution().analyzed().toString() and one.first()["s"] == [(0, 7)]
