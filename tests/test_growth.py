@@ -95,3 +95,32 @@ def test_tables_of_many_merges(spark):
 def test_stretches_look_at_as_many_levels_as_the_interval_has(spark):
     one = spark.range(1).select(stretches(F.lit(7), F.lit(7)).alias("s"))
     assert "sequence(0, 62" not in one._jdf.queryExecution().analyzed().toString() and one.first()["s"] == [(0, 7)]
+
+
+def test_covered_share_shuffles_once(spark):
+    intervals = spark.createDataFrame([("p", 0.0, 4.0), ("p", 2.0, 6.0), ("p", 6.0, 6.0), ("q", 1.0, 2.0)], "page string, start double, end double")
+    windows = spark.createDataFrame([("p", 1.0, 7.0, "a"), ("p", 1.0, 7.0, "a"), ("q", 2.0, 2.0, "b"), ("r", 0.0, 1.0, "c")], "page string, w_start double, w_end double, note string")
+    df = layout.covered_share(intervals, windows, ["page"])
+    assert _exchanges(df) == 1
+    assert sorted((r["page"], r["note"], round(r["share"], 9)) for r in df.collect()) == [("p", "a", 0.833333333)] * 2 + [("q", "b", 0.0), ("r", "c", 0.0)]
+
+
+def test_bands_follow_their_first_rule_or_median(spark):
+    """In one shuffle, for positions that repeat, drift and jump."""
+    rng = random.Random(4)
+    rows = [(0, p, x, 10.0 * i, x, 10.0 * i + 5) for p in range(8) for i, x in enumerate(rng.choice([20, 40]) + rng.randrange(24) / 4 for _ in range(30))]
+    rules = spark.createDataFrame(rows, "doc_id int, page int, x0 double, y0 double, x1 double, y1 double")
+    for mode in ("word", "vector"):
+        df = layout.merge_intervals(rules, False, mode)
+        assert _exchanges(df) == 1
+        got = {(r["page"], r["band_no"], r["start"]) for r in df.collect()}
+        want = set()
+        for page in range(8):
+            band, group = 0, []
+            for x, y in sorted((r[2], r[3]) for r in rows if r[1] == page):
+                held = group and (group[0] if mode == "word" else group[len(group) // 2])
+                if not group or (x - held >= 1.5 if mode == "word" else x - held > 1.5):
+                    band, group = band + 1, []
+                group.append(x)
+                want.add((page, band, y))
+        assert got == want
