@@ -20,7 +20,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more on 5-word shingles, the document with the smallest id."""
+    """Of texts linked by a similarity of 0.8 or more on 5-word shingles, the document with the smallest id.
+
+    SimHash fingerprints of the shingles propose links, and bands those that differ in more bits."""
     return shingles.drop_near_copies(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash bands, verified on the whole sets."""
+"""Near copies by the Jaccard similarity of their word shingles: candidates by SimHash and MinHash bands, verified on the whole sets."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sheaf.llm import simhash
 from sheaf.llm.common import row_key
 from sheaf.llm.components import components
 from sheaf.session import Stages, stage
@@ -54,6 +55,12 @@ def _name(found: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(found.tobytes()), "big", signed=True) if len(found) else 0
 
 
+def _fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set, each shingle once; zero without any."""
+    raw = found.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return simhash.majority((raw[at:at + SETS_AT_ONCE] for at in range(0, len(raw), SETS_AT_ONCE)), len(raw))
+
+
 def _sketch(found: np.ndarray) -> np.ndarray:
     """Parities of the shingles per bit: two sketches never differ in more bits than the sets do in shingles."""
     odd = np.bincount((found & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
@@ -85,8 +92,8 @@ SKETCH = [f"s{i}" for i in range(LONGS)]
 
 
 def _marked(slim: DataFrame, words: int) -> DataFrame:
-    """``place``, node (a hash of the set), n (its size), the sketch and the band keys, one row per row."""
-    schema = T.StructType([slim.schema["place"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
+    """``place``, node (a hash of the set), n (its size), fp (its SimHash), the sketch and the band keys, one row per row."""
+    schema = T.StructType([slim.schema["place"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()),
                            *[T.StructField(c, T.LongType()) for c in SKETCH], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -96,11 +103,11 @@ def _marked(slim: DataFrame, words: int) -> DataFrame:
                 rows = []
                 for t in part.column(1):
                     found = shingles(t.as_py(), words)
-                    rows.append((_name(found), len(found), _sketch(found), _minima(found)))
-                bits = np.array([r[2] for r in rows], np.int64).reshape(len(rows), LONGS)
-                keys = band_keys(np.array([r[3] for r in rows], np.uint32))
+                    rows.append((_name(found), len(found), _fingerprint(found), _sketch(found), _minima(found)))
+                bits = np.array([r[3] for r in rows], np.int64).reshape(len(rows), LONGS)
+                keys = band_keys(np.array([r[4] for r in rows], np.uint32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array(bits[:, i]) for i in range(LONGS)],
+                    [part.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], *[pa.array(bits[:, i]) for i in range(LONGS)],
                      pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=schema.names)
 
     return slim.mapInArrow(run, schema)
@@ -197,28 +204,47 @@ def _rare(own: Stages, crowd: DataFrame, sets: DataFrame, info: DataFrame) -> Da
 def _to_least(keys: DataFrame, slim: DataFrame) -> DataFrame:
     """Pairs of each node with the smallest of each of its keys, where sizes and sketches don't rule them out."""
     hubs = keys.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("most")).where("dst < most").drop("most")
-    spokes = keys.withColumnRenamed("node", "src").join(hubs, "key").where("src <> dst").select("src", "dst").distinct()
-    return spokes.join(slim.alias("a"), F.col("src") == F.col("a.node")).join(
+    return _alike(keys.withColumnRenamed("node", "src").join(hubs, "key").where("src <> dst").select("src", "dst").distinct(), slim)
+
+
+def _alike(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out."""
+    return pairs.join(slim.alias("a"), F.col("src") == F.col("a.node")).join(
         slim.alias("b"), (F.col("dst") == F.col("b.node")) & _may_be_similar("a", "b")).select("src", "dst")
 
 
+def _close(own: Stages, info: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints differ in two bits at most: each node with the smallest of its fingerprint, and
+    these with each other as :func:`simhash.links` chains them, so equal fingerprints are never paired among themselves."""
+    least = own.stage(info.groupBy("fp").agg(F.min("node").alias("hub")))
+    same = info.select("node", "fp").join(least, "fp").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+    near = simhash.links(least.select("fp"), stage=own.stage)
+    a, b = (least.select(F.col("fp").alias(c), F.col("hub").alias("hub_" + c)) for c in ("src", "dst"))
+    near = near.join(a, "src").join(b, "dst").select(F.col("hub_src").alias("src"), F.col("hub_dst").alias("dst"))
+    return own.stage(same.unionByName(near))
+
+
 def links(own: Stages, slim: DataFrame, marked: DataFrame, words: int = 5) -> DataFrame:
-    """(src, dst) whose components are those of all pairs of nodes with a Jaccard similarity of 0.8 or more that share a band.
+    """(src, dst) whose components are those of all pairs of nodes with a Jaccard similarity of 0.8 or more that share a band or have close
+    fingerprints.
 
-    First every node is held against the smallest of each of its first FIRST bands, which gathers large groups of near
+    Nodes with fingerprints within two bits are compared first; bands find what differs in more bits. Then every node is held against the smallest of each of its first FIRST bands, which gathers large groups of near
     copies. Of all bands only those that still hold several components go on: again every node is held against the
     smallest one, then what that leaves elsewhere against all of the band that are in other components; where it leaves
     more than LARGEST_REST nodes of a band, against those that share a rare shingle. So a large group of near copies
     costs a few pairs a copy, a crowded band is never paired with itself, and no pair of a band is left out. Sketches are
     compared in the joins, sets in full after them."""
-    info = own.stage(marked.where("n > 0").groupBy("node").agg(F.min("place.key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "bands")]))
+    info = own.stage(marked.where("n > 0").groupBy("node").agg(F.min("place.key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "bands")]))
     keys = info.select("node", F.explode("bands").alias("key"))
     met = own.stage(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key"))
-    needed = own.stage(keys.join(met, "key", "left_semi").select("node").distinct().join(info.select("node", "text_key"), "node"))
+    close = _close(own, info)
+    paired = close.select(F.col("src").alias("node")).unionByName(close.select(F.col("dst").alias("node")))
+    needed = own.stage(keys.join(met, "key", "left_semi").select("node").unionByName(paired).distinct().join(info.select("node", "text_key"), "node"))
     sets = own.stage(_sets(slim, needed, words))
-    info = own.stage(info.drop("text_key").join(needed.select("node"), "node", "left_semi"))
+    info = own.stage(info.drop("text_key", "fp").join(needed.select("node"), "node", "left_semi"))
     slim = info.drop("bands")
-    first = _similar(own, _to_least(info.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key")), slim), sets)
+    first = _alike(close, slim).unionByName(_to_least(info.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key")), slim))
+    first = _similar(own, first.distinct(), sets)
     roots = components(first, own.stage)
     rooted = info.join(roots, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root"))
     rooted = own.stage(rooted.select("node", "root", F.explode("bands").alias("key")))
@@ -246,8 +272,8 @@ def links(own: Stages, slim: DataFrame, marked: DataFrame, words: int = 5) -> Da
 def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5) -> DataFrame:
     """The rows of ``df``, of each group of near copies only the document with the smallest id.
 
-    Texts with a Jaccard similarity of 0.8 or more of their word shingles are linked (found with a chance of 0.99995 at
-    0.8 itself, more above it); a group is what links reach. Rows equal in id and text are one document and stay or go
+    Texts with a Jaccard similarity of 0.8 or more of their word shingles are linked (found by close SimHash fingerprints
+    of these, else by bands with a chance of 0.99995 at 0.8 itself, more above it); a group is what links reach. Rows equal in id and text are one document and stay or go
     together; null ids come last in their group. Null texts and texts without words are one group. An empty table gives
     an empty result. All columns are kept as they are."""
     key = row_key(F.col(doc_id), F.col(text))

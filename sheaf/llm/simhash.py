@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from itertools import combinations
 
 import numpy as np
@@ -32,11 +33,22 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     ends = (starts + sizes - 1)[width - 1:]
     total = len(ends)
     digest = xxhash.xxh64_digest
+
+    def hashed():
+        for at in range(0, total, ROWS_AT_ONCE):
+            s, e = starts[at:min(at + ROWS_AT_ONCE, total)].tolist(), ends[at:at + ROWS_AT_ONCE].tolist()
+            yield np.frombuffer(b"".join([digest(joined[i:j], seed) for i, j in zip(s, e)]), np.uint8).reshape(-1, 8)
+
+    return majority(hashed(), total)
+
+
+def majority(hashed: Iterable[np.ndarray], total: int) -> int:
+    """The bits that more than half of ``total`` hashes have, as a signed 64-bit number.
+
+    ``hashed`` gives the hashes some at a time, eight bytes each, high byte first."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, total, ROWS_AT_ONCE):
-        s, e = starts[at:min(at + ROWS_AT_ONCE, total)].tolist(), ends[at:at + ROWS_AT_ONCE].tolist()
-        raw = b"".join([digest(joined[i:j], seed) for i, j in zip(s, e)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    for raw in hashed:
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big", signed=True)
 
 
@@ -65,7 +77,8 @@ def _masks(blocks: int, shared: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in whole]
 
 
-def links(fps: DataFrame, distance: int = 2, blocks: int = 5, largest_block: int = 32) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, blocks: int = 5, largest_block: int = 32,
+          stage: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """(src, dst) that link all fingerprints of the distinct column ``fp`` that differ in ``distance`` (0, 1 or 2) bits or fewer.
 
     Of ``blocks`` blocks two close fingerprints share at least ``blocks - distance``; they meet on every such

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sheaf.llm import queries, shingles
+from sheaf.llm import queries, shingles, simhash
 from test_dedup import texts
 
 
@@ -138,3 +138,18 @@ def test_bit_maps_hold_the_ends(spark):
     every, common = shingles._bit_maps(rows, ("true", "of > 8"))
     assert np.flatnonzero(every).tolist() == [0, 32767, 32768, last] and np.flatnonzero(common).tolist() == [32768, last]
     assert not shingles._bit_maps(rows.limit(0)).any()
+
+
+def test_near_copies_are_found_by_simhash(docs_of, monkeypatch):
+    """Fingerprints within two bits link near copies that share no band; unlike texts of close fingerprints stay apart."""
+    rng = random.Random(3)
+    base = [f"u{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(base[1:])), (4, " ".join(f"u{rng.randrange(5000)}" for _ in range(400)))]
+    fps = [shingles._fingerprint(shingles.shingles(t.encode())) for _, t in rows]
+    assert fps[0] == simhash.fingerprint(rows[0][1].encode(), words=5) and shingles._fingerprint(shingles.shingles(b"")) == 0
+    assert all((fps[0] ^ f).bit_count() <= 2 for f in fps[1:3])
+    apart = lambda minima: minima.astype(np.int64).sum(axis=1)[:, None] * 64 + np.arange(shingles.BANDS)  # no two sets share a band
+    monkeypatch.setattr(shingles, "band_keys", apart)
+    assert sorted(r["doc_id"] for r in shingles.drop_near_copies(docs_of(rows)).collect()) == [1, 4]
+    monkeypatch.setattr(shingles, "_fingerprint", lambda found: 7)
+    assert sorted(r["doc_id"] for r in shingles.drop_near_copies(docs_of(rows)).collect()) == [1, 4]
