@@ -128,11 +128,13 @@ def _table(counted: DataFrame, langs: list[str], totals: dict[str, int], most: i
     """Position and log frequencies, less their mean over the languages, of each language's ``most`` most frequent keys."""
     top = _of_each(counted, langs, most, F.col("n").desc(), F.col("key")).select("key").distinct()
     per = counted.join(F.broadcast(top), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = per.orderBy(F.col("all").desc(), "key").select("key", "by").collect()
-    counts = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.float64).reshape(len(rows), len(langs))
+    # Arrow columns, not row objects: the driver holds the keys and one number a language.
+    by = F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.try_element_at("by", x), F.lit(0))) if langs else F.array().cast("array<bigint>")
+    rows = per.orderBy(F.col("all").desc(), "key").select("key", by.alias("by")).toArrow()
+    counts = rows["by"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), len(langs))
     logs = np.log((counts + SMOOTHING) / (np.array([totals.get(x, 0) for x in langs]) + SMOOTHING * (len(rows) + 1)))
     logs -= logs.mean(axis=1, keepdims=True) if len(langs) else 0
-    return {r["key"]: i for i, r in enumerate(rows)}, logs.astype(np.float32)
+    return {key: i for i, key in enumerate(rows["key"].to_pylist())}, logs.astype(np.float32)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

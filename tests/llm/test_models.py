@@ -166,3 +166,23 @@ def test_search_recall(spark, folder):
         d[i] = np.inf
         shares.append(len(found[names[i]] & set(names[np.lexsort((names, d))[:10]])) / 10)
     assert len(shares) == len(found) and np.mean(shares) >= 0.9
+
+
+def test_language_model_reaches_the_driver_without_row_objects(docs_of, monkeypatch):
+    """Keys and counts come as columns; only one row a language is collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    collect = DataFrame.collect
+
+    def few(df):
+        rows = collect(df)
+        assert len(rows) <= 2
+        return rows
+
+    df = docs_of([(i, f"alpha {chr(98 + i)} gamma") for i in range(9)] + [(9 + i, f"uno {chr(98 + i)}{chr(98 + i)} tres") for i in range(9)])
+    df = df.withColumn("lang", F.when(F.col("doc_id") < 9, "b").otherwise("a"))
+    monkeypatch.setattr(DataFrame, "collect", few)
+    model = langid.fit(df)
+    assert model.langs == ["a", "b"] and len(model.words) == 22 and list(model.words)[:4] == ["alpha", "gamma", "tres", "uno"]
+    assert np.sign(model.word_logs[model.words["alpha"]]).tolist() == [-1, 1]
+
