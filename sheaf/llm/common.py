@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +35,14 @@ def row_key(*columns: Column) -> Column:
     return F.md5(F.concat(*sized))
 
 
+def known_codes(values: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Position of each value in the distinct ``known``, those it lacks numbered on by first occurrence; and the latter.
+
+    Only the distinct values are hashed and ``known`` is looked up among them, since it is much the larger."""
+    coded = values.dictionary_encode()
+    found = pc.index_in(known, value_set=coded.dictionary)
+    at = np.full(len(coded.dictionary), -1)
+    at[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    missing = np.flatnonzero(at < 0)
+    at[missing] = len(known) + np.arange(len(missing))
+    return at[coded.indices.to_numpy()], coded.dictionary.take(pa.array(missing))

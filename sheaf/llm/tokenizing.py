@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sheaf.llm.common import known_codes
+
 #: Where a text may be cut whatever surrounds it.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 SPACE = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
@@ -146,24 +148,18 @@ class Encoder:
         """Code of each part, the words by code, the table of all codes, entries per code, and the parts before each text."""
         flat = parts.flatten()
         row_at = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))))
-        code = pc.index_in(flat, value_set=self.words)
+        code, new = known_codes(flat, self.words)
         words, table, counts = self.words, self.table, self.counts
-        if code.null_count:
-            unknown = pc.is_null(code)
-            new = flat.filter(unknown).dictionary_encode()
-            learned = [self._encode(w) for w in new.dictionary.to_pylist()]
-            out = code.fill_null(0).to_numpy(zero_copy_only=False).copy()
-            out[unknown.to_numpy(zero_copy_only=False)] = new.indices.to_numpy() + len(words)
-            words = pa.concat_arrays([words, new.dictionary])
+        if len(new):
+            learned = [self._encode(w) for w in new.to_pylist()]
+            words = pa.concat_arrays([words, new])
             table = np.concatenate((table, np.frombuffer(b"".join(learned), np.uint32)))
             counts = np.concatenate((counts, np.fromiter(map(len, learned), np.int64, len(learned)) // (4 * width)))
             if len(self.words) < WORDS_KEPT:
                 kept = min(len(words), WORDS_KEPT)
                 self.words, self.counts = pa.concat_arrays([words.slice(0, kept)]), counts[:kept].copy()
                 self.table = table[:int(self.counts.sum()) * width].copy()
-        else:
-            out = code.to_numpy(zero_copy_only=False)
-        return out, words, table, counts, row_at
+        return code, words, table, counts, row_at
 
 
 def _ragged(code: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sheaf.llm.common import known_codes
+
 #: Words kept per process; others are computed again in the slices in which they occur.
 WORDS_KEPT = 500_000
 
@@ -25,18 +27,13 @@ class WordScores:
         parts = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         row_at = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))))
         flat = parts.flatten()
-        code, table = pc.index_in(flat, value_set=self.words), self.table
-        if code.null_count:
-            unknown = pc.is_null(code)
-            new = flat.filter(unknown).dictionary_encode()
-            fresh = np.array([self.score(w) for w in new.dictionary.to_pylist()], np.float32).reshape(-1, self.width)
-            at = code.fill_null(0).to_numpy(zero_copy_only=False).copy()
-            at[unknown.to_numpy(zero_copy_only=False)] = new.indices.to_numpy() + len(table)
+        at, new = known_codes(flat, self.words)
+        table = self.table
+        if len(new):
+            fresh = np.array([self.score(w) for w in new.to_pylist()], np.float32).reshape(-1, self.width)
             table = np.concatenate((table, fresh))
             if len(self.table) < WORDS_KEPT:
                 kept = min(len(table), WORDS_KEPT)
-                self.words = pa.concat_arrays([pa.concat_arrays([self.words, new.dictionary]).slice(0, kept)])
+                self.words = pa.concat_arrays([pa.concat_arrays([self.words, new]).slice(0, kept)])
                 self.table = table[:kept].copy()
-        else:
-            at = code.to_numpy(zero_copy_only=False)
         return table[at], row_at, at

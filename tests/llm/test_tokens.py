@@ -1,13 +1,16 @@
 import random
+import timeit
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
 from sheaf.llm import packing, tokencounts, tokenfiles, tokenizing
+from sheaf.llm.common import known_codes
 from sheaf.llm.queries import byte_vocabulary, word_vocabulary
 
 RNG = random.Random(1)
@@ -136,3 +139,16 @@ def test_token_counts_by_section(docs_of, rule):
             sections[touched[0] if rule == "first" else touched[-1] if rule == "last" else held.index(max(held))][4] += 1
         want += [(str(i), *s, len(tokens)) for s in sections]
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+
+
+def test_known_words_are_not_hashed_again_for_every_slice():
+    """What looks words up hashes those of the slice only, and numbers new ones behind the known."""
+    known = pa.array(["b", "a", "e"], pa.string())
+    code, new = known_codes(pa.array(["a", "c", "a", "", "c", "b"], pa.string()), known)
+    assert code.tolist() == [1, 3, 1, 4, 3, 0] and new.to_pylist() == ["c", ""]
+    code, new = known_codes(pa.array([], pa.string()), known)
+    assert not len(code) and not len(new)
+    many = pa.array([str(i) for i in range(600_000)])
+    few = pa.array(["7", "x"] * 10)
+    best = lambda f: min(timeit.repeat(f, number=1, repeat=5))
+    assert best(lambda: known_codes(few, many)) < best(lambda: pc.index_in(few, value_set=many))
