@@ -28,8 +28,9 @@ def covered_text(words: DataFrame, boxes: DataFrame) -> DataFrame:
     return w.join(b, [*PAGE, "gx", "gy"]).filter(inside).groupBy(*PAGE).agg(F.count("*").alias("covered"))
 
 
-def _off(words: DataFrame, pages: DataFrame) -> DataFrame:
-    d = words.join(pages.select(*PAGE, F.col("width").alias("pw"), F.col("height").alias("ph")), PAGE)
+def _off(words: DataFrame, pages: DataFrame, *more: str) -> DataFrame:
+    """Words with ``off`` and ``more`` of their page. Pages are one row each, so words are shuffled by page, not sorted."""
+    d = words.join(pages.select(*PAGE, F.col("width").alias("pw"), F.col("height").alias("ph"), *more).hint("shuffle_hash"), PAGE)
     outside = (F.col("x") < -5) | (F.col("y") < -5) | (F.col("x") > F.col("pw") + 5) | (F.col("y") > F.col("ph") + 5)
     return d.withColumn("off", outside)
 
@@ -41,9 +42,8 @@ def offpage_text(words: DataFrame, pages: DataFrame) -> DataFrame:
 
 def hidden_text_class(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, hidden, images, classification); ``pages`` carry their image count."""
-    d = _off(words, pages).groupBy(*PAGE).agg(
-        F.count("*").alias("total"), F.sum((F.col("hidden") & ~F.col("off")).cast("bigint")).alias("hidden"))
-    d = d.filter("hidden > 0").join(pages.select(*PAGE, "images"), PAGE)
+    d = _off(words, pages, "images").groupBy(*PAGE, "images").agg(
+        F.count("*").alias("total"), F.sum((F.col("hidden") & ~F.col("off")).cast("bigint")).alias("hidden")).filter("hidden > 0")
     layer = (F.col("images") > 0) & (F.col("hidden") >= 12) & (F.col("hidden") >= F.col("total") * 0.75)
     kind = F.when(layer, "search layer").when(F.col("images") > 0, "uncertain").otherwise("suspicious hidden text")
     return d.select(*PAGE, "hidden", "images", kind.alias("classification"))

@@ -6,7 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sheaf.functions.stabbing import stretches
-from sheaf.operators import layout, reconcile, tables, textops
+from sheaf import fixtures
+from sheaf.operators import layout, reconcile, tables, textops, visibility
 from sheaf.plans import ingest
 
 
@@ -124,3 +125,34 @@ def test_bands_follow_their_first_rule_or_median(spark):
                 group.append(x)
                 want.add((page, band, y))
         assert got == want
+
+
+def test_words_meet_their_page_unsorted(spark, sf):
+    """Whatever the size: one shuffle of words, one of pages, no sort; grid cells are not joined with their components again."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = spark.createDataFrame([(1, 1, 5.0, 5.0, True), (1, 1, 900.0, 5.0, True), (1, 2, 5.0, 5.0, False)], "doc_id int, page int, x double, y double, hidden boolean")
+        pages = spark.createDataFrame([(1, 1, 612.0, 792.0, 0), (1, 2, 612.0, 792.0, 1)], "doc_id int, page int, width double, height double, images int")
+        edges = pages.select("doc_id", "page", F.array(F.lit(0.0), F.lit(600.0)).alias("xs"), F.array(F.lit(0.0), F.lit(700.0)).alias("ys"))
+        placed = words.select("doc_id", "page", F.lit(1).alias("word_no"), F.lit("w").alias("text"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(9.0).alias("size"))
+        off, hidden, counts = visibility.offpage_text(words, pages), visibility.hidden_text_class(words, pages), layout.assign_words_to_grid(placed, edges)[1]
+        for df in (off, hidden, counts):
+            assert _exchanges(df) == 2 and "Sort" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in off.collect()] == [(1, 1, 1)]
+        assert [tuple(r) for r in hidden.collect()] == [(1, 1, 1, 0, "suspicious hidden text")]
+        assert sorted(map(tuple, counts.collect())) == [(1, 1, 2, 1), (1, 2, 1, 1)]
+        cells = spark.createDataFrame([(1, 1, r, c) for r in range(2) for c in range(2)], "doc_id int, page int, row int, col int")
+        sides = spark.createDataFrame([(1, 1, 0, 0, 0, 1)], "doc_id int, page int, row int, col int, to_row int, to_col int")
+        grid = layout.grid_components(cells, sides)
+        assert _exchanges(grid) <= 4 and grid._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+        assert [tuple(r)[2:6] for r in layout.component_merges(grid).collect()] == [(0, 0, 0, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_pages_of_words_are_found_once(spark, sf):
+    """Titles, numbers and footers read one table of pages instead of looking for the pages of all words three times."""
+    plan = fixtures.load(spark, sf, "fx_spans")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
