@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
@@ -40,31 +41,63 @@ class Model:
     grams: dict[str, int] = field(default_factory=dict)
     word_logs: np.ndarray = None
     gram_logs: np.ndarray = None
+    _scores: WordScores = None
 
     def word(self, word: str) -> np.ndarray:
-        """Evidence of one word of letters only, zero where nothing is known.
+        """Evidence of one word of letters only, zero where nothing is known."""
+        return self.pieces([word])[0, :-1]
+
+    def _speaking(self, word: str) -> list[int]:
+        """Rows of the word logs, then the gram logs, whose mean is the evidence of one word of letters only; none where
+        nothing is known.
 
         An unknown word takes the longest order of which half its n-grams or more are known, else the longest with
-        any; its evidence is the mean of those."""
+        any."""
         if (at := self.words.get(word)) is not None:
-            return self.word_logs[at]
+            return [at]
         padded, spare = f"<{word}>", None
         for order in ORDERS:
             text = padded if order > 1 else word  # the marks of begin and end say nothing by themselves
             grams = [text[i:i + order] for i in range(len(text) - order + 1)]
             known = [at for g in grams if (at := self.grams.get(g)) is not None]
             if known and len(known) * 2 >= len(grams):
-                return self.gram_logs[known].mean(axis=0)
+                break
             if known and spare is None:
                 spare = known
-        return self.gram_logs[spare].mean(axis=0) if spare else np.zeros(len(self.langs), np.float32)
-
-    def piece(self, piece: str) -> list[float]:
-        """Summed evidence of the words in a white-space separated piece, and whether it has a letter."""
-        found = letter_words(piece)
-        if not found:
-            return [0.0] * len(self.langs) + [0.0]
-        return [*np.sum([self.word(w) for w in found], axis=0), 1.0]
+        else:
+            known = spare or []
+        return [len(self.words) + at for at in known]
+
+    def pieces(self, pieces: list[str]) -> np.ndarray:
+        """For each white-space separated piece the summed evidence of its words, and whether it has a letter.
+
+        The rows that speak for all pieces are summed at once: an array for each word would cost more than its lookup."""
+        rows, shares, each = array("i"), array("f"), array("i")
+        out = np.zeros((len(pieces), len(self.langs) + 1), np.float32)
+        for i, piece in enumerate(pieces):
+            before = len(rows)
+            if (at := self.words.get(piece)) is not None:  # words are letters only, so the piece is one
+                rows.append(at)
+                shares.append(1)
+                out[i, -1] = 1
+            elif found := letter_words(piece):
+                out[i, -1] = 1
+                for word in found:
+                    own = self._speaking(word)
+                    rows.extend(own)
+                    shares.extend([1 / len(own)] * len(own) if own else ())
+            each.append(len(rows) - before)
+        if rows and self.langs:
+            logs = np.concatenate((self.word_logs, self.gram_logs))[np.array(rows)] * np.array(shares, np.float64)[:, None]
+            each = np.array(each)
+            out[each > 0, :-1] = np.add.reduceat(logs, (np.cumsum(each) - each)[each > 0], axis=0)
+        return out
+
+    def scores(self) -> WordScores:
+        """Scores that a process keeps with the model from task to task; they go with its broadcast."""
+        if self._scores is None:
+            self._scores = WordScores(None, len(self.langs) + 1, self.pieces)
+        return self._scores
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -78,9 +111,10 @@ def _counts(sample: DataFrame) -> DataFrame:
                 langs = batch.column(0).slice(at, len(texts))
                 for lang in pc.unique(langs).to_pylist():
                     own = pc.utf8_lower(texts.filter(pc.equal(langs, lang)))
-                    for entry in pc.value_counts(pc.utf8_split_whitespace(own).flatten()).to_pylist():
-                        for word in letter_words(entry["values"]):
-                            seen.setdefault(lang, Counter())[word] += entry["counts"]
+                    pieces = pc.value_counts(pc.utf8_split_whitespace(own).flatten())
+                    for piece, n in zip(pieces.field("values").to_pylist(), pieces.field("counts").to_pylist()):
+                        for word in letter_words(piece):
+                            seen.setdefault(lang, Counter())[word] += n
             if sum(map(len, seen.values())) > 200_000:
                 yield from _emit(seen)
                 seen = {}
@@ -89,6 +123,27 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _gram_counts(counted: DataFrame) -> DataFrame:
+    """(lang, key, n) of the n-grams of all orders in the words between their marks."""
+
+    def run(batches):
+        seen: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                counts, padded = seen.setdefault(lang, Counter()), f"<{word}>"
+                for order in ORDERS:
+                    for i in range(len(padded) - order + 1):
+                        gram = padded[i:i + order]
+                        counts[gram] = counts.get(gram, 0) + n
+            if sum(map(len, seen.values())) > 200_000:
+                yield from _emit(seen)
+                seen = {}
+        yield from _emit(seen)
+
+    found = counted.select("lang", "word", "n").mapInArrow(run, "lang string, word string, n bigint")
+    return found.withColumnRenamed("word", "key").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
 def _emit(seen: dict[str, Counter]):
     for lang, counts in seen.items():
         yield pa.RecordBatch.from_arrays(
@@ -109,11 +164,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     model = Model(sorted(totals))
     model.words, model.word_logs = _table(counted.withColumnRenamed("word", "key"), model.langs, totals, max_words)
-    padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = counted.select("lang", "n", F.explode(F.concat(*[
-        F.when(F.length(padded) >= k, F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i, k=k: padded.substr(i, F.lit(k))))
-        .otherwise(F.array().cast("array<string>")) for k in ORDERS])).alias("key"))
-    grams = stage(grams.groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    grams = stage(_gram_counts(counted))
     sums = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     model.grams, model.gram_logs = _table(grams, model.langs, sums, max_grams)
     return model
@@ -149,7 +200,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
 
     def run(batches):
         known, names = shared.value, None
-        scores = WordScores(known.piece, len(known.langs) + 1)
+        scores = known.scores()
         names = pa.array([*known.langs, UNDETERMINED], pa.string())
         for batch in batches:
             picks, shares = [], []

@@ -15,10 +15,11 @@ WORDS_KEPT = 500_000
 
 
 class WordScores:
-    """``score`` maps a lower-cased word (with its punctuation; possibly empty) to ``width`` numbers."""
+    """``score`` maps a lower-cased word (with its punctuation; possibly empty) to ``width`` numbers, or ``many`` a list of
+    words to as many rows of them."""
 
-    def __init__(self, score: Callable[[str], Sequence[float]], width: int):
-        self.score, self.width = score, width
+    def __init__(self, score: Callable[[str], Sequence[float]] | None, width: int, many: Callable[[list[str]], np.ndarray] | None = None):
+        self.many, self.width = many or (lambda words: [score(w) for w in words]), width
         self.words, self.table = pa.array([], pa.string()), np.empty((0, width), np.float32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,7 +31,7 @@ class WordScores:
         at, new = known_codes(flat, self.words)
         table = self.table
         if len(new):
-            fresh = np.array([self.score(w) for w in new.to_pylist()], np.float32).reshape(-1, self.width)
+            fresh = np.array(self.many(new.to_pylist()), np.float32).reshape(-1, self.width)
             table = np.concatenate((table, fresh))
             if len(self.table) < WORDS_KEPT:
                 kept = min(len(table), WORDS_KEPT)

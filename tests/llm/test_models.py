@@ -186,3 +186,18 @@ def test_language_model_reaches_the_driver_without_row_objects(docs_of, monkeypa
     assert model.langs == ["a", "b"] and len(model.words) == 22 and list(model.words)[:4] == ["alpha", "gamma", "tres", "uno"]
     assert np.sign(model.word_logs[model.words["alpha"]]).tolist() == [-1, 1]
 
+
+
+def test_learned_grams_have_the_orders_asked_for(docs_of):
+    """Every n-gram of 1 to 5 characters of the words between their marks, and nothing longer, shorter or skipped."""
+    words = ["alpha", "öl", "x"]
+    model = langid.fit(docs_of([(1, " ".join(words))]).withColumn("lang", F.lit("a")))
+    assert set(model.grams) == {p[i:i + k] for p in (f"<{w}>" for w in words) for k in range(1, 6) for i in range(len(p) - k + 1)}
+
+
+def test_pieces_of_many_words_at_once():
+    """Punctuation, several words in a piece, unknown words and pieces without letters, and a process learns a word once."""
+    model = langid.Model(["a", "b"], {"known": 0}, {"kno": 0}, np.array([[3, -3]], np.float32), np.array([[1, 0]], np.float32))
+    found = model.pieces(["known", "(known),", "known-known", "kno!", "qqq", "12", "", "known qqq"])
+    assert found.tolist() == [[3, -3, 1], [3, -3, 1], [6, -6, 1], [1, 0, 1], [0, 0, 1], [0, 0, 0], [0, 0, 0], [3, -3, 1]]
+    assert model.scores() is model.scores()
