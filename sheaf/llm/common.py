@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Only glibc has it; other allocators return free memory by themselves.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -46,3 +50,10 @@ def known_codes(values: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array
     missing = np.flatnonzero(at < 0)
     at[missing] = len(known) + np.arange(len(missing))
     return at[coded.indices.to_numpy()], coded.dictionary.take(pa.array(missing))
+
+
+def give_back() -> None:
+    """Return free memory to the system: workers live on, and what a batch took shouldn't stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sheaf.llm.common import known_codes
+from sheaf.llm.common import give_back, known_codes
 
 #: Where a text may be cut whatever surrounds it.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -64,7 +64,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         stop = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
         yield at, texts.slice(at, stop - at)
         at = stop
-    pa.default_memory_pool().release_unused()  # workers live on; what a batch took shouldn't stay with them
+    give_back()
 
 
 class Encoder:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -246,18 +246,30 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known = shared.value
-        words = WordScores(known.piece, 2)
-        for batch in batches:
-            found = [known.score(*words(texts)) for _, texts in slices(batch.column(batch.num_columns - 1))]
-            scores = np.concatenate([np.empty(0), *found])
+        for batch, scores in _scored(batches, shared.value, batch_text=-1):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
     return slim.mapInArrow(run, schema)
 
 
+def _scored(batches: Iterable[pa.RecordBatch], model: Model, batch_text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with the scores of the texts in their column ``batch_text``."""
+    words = WordScores(model.piece, 2)
+    for batch in batches:
+        found = [model.score(*words(texts)) for _, texts in slices(batch.column(batch_text % batch.num_columns))]
+        yield batch, np.concatenate([np.empty(0), *found])
+
+
 def drop_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that score below ``threshold``, all columns as they are."""
-    packed = df.select(F.struct("*").alias("__row"), F.col(text).alias(text))
-    return score(packed, model, text, ("__row",), threshold).where("predicted = 0").select("__row.*")
+    """The rows of ``df`` that score below ``threshold``, all columns as they are.
+
+    A row goes to Python once, its text not beside it a second time, and comes back only if it stays."""
+    at = df.columns.index(text)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, scores in _scored(batches, shared.value, at):
+            yield batch.filter(pa.array(scores < threshold))
+
+    return df.mapInArrow(run, df.schema)

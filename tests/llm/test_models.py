@@ -201,3 +201,13 @@ def test_pieces_of_many_words_at_once():
     found = model.pieces(["known", "(known),", "known-known", "kno!", "qqq", "12", "", "known qqq"])
     assert found.tolist() == [[3, -3, 1], [3, -3, 1], [6, -6, 1], [1, 0, 1], [0, 0, 1], [0, 0, 0], [0, 0, 0], [3, -3, 1]]
     assert model.scores() is model.scores()
+
+
+def test_dropping_sends_each_text_once(docs_of):
+    """A row goes to Python as it is, not packed with its text beside it."""
+    df = docs_of([(1, "an idiot"), (2, "a stone")])
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    weights[toxicity.subwords("idiot")] = 9
+    kept = toxicity.drop_toxic(df, toxicity.Model(weights, -2.0, 0.1))
+    assert kept.collect() == df.where("doc_id = 2").collect()
+    assert "struct(" not in kept._jdf.queryExecution().optimizedPlan().toString()
