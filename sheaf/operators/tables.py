@@ -336,15 +336,59 @@ def _chains(fragments, values, neighbours, near, low) -> DataFrame:
 def plan_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """(table_id, merge_no, outcome applied / skipped): merges in listed order, first come first served.
 
-    Repeats and 1×1 regions are left out. Conflicts resolve in rounds: a merge that is first in all its
-    cells is applied, whatever touches it is skipped, until none is open."""
+    Repeats and 1×1 regions are left out."""
     shape = ["start_row", "end_row", "start_col", "end_col"]
     formed = (
         (F.col("start_row") >= 0) & (F.col("start_col") >= 0)
         & (F.col("start_row") <= F.col("end_row")) & (F.col("start_col") <= F.col("end_col"))
     )
-    malformed = merges.filter(~formed).select("table_id", "merge_no")
-    unique = merges.filter(formed).groupBy("table_id", *shape).agg(F.min("merge_no").alias("merge_no"))
+    merges = stage(merges.select("table_id", "merge_no", *shape))
+    malformed = merges.filter(~formed).select("table_id", "merge_no", F.lit("skipped").alias("outcome"))
+    formed = merges.filter(formed)
+    crowded = formed.groupBy("table_id").agg(F.count("*").alias("n"), F.count_distinct("merge_no").alias("ids"))
+    crowded = stage(crowded.filter((F.col("n") > FEW_MERGES) | (F.col("ids") < F.col("n"))).select("table_id"))
+    if crowded.isEmpty():
+        return malformed.unionByName(_planned_by_table(cells, formed))
+    few, many = (lambda d: d.join(crowded, "table_id", "left_anti")), (lambda d: d.join(crowded, "table_id", "left_semi"))
+    return malformed.unionByName(_planned_by_table(cells, few(formed))).unionByName(_planned_in_rounds(many(cells), many(formed)))
+
+
+def _planned_by_table(cells: DataFrame, formed: DataFrame) -> DataFrame:
+    """Tables of few merges: cells meet the merges of their table in one shuffle, and conflicts are settled in listed order.
+
+    Only whole merges compete, so that they share a cell exactly if their rectangles overlap."""
+    shape = ["start_row", "end_row", "start_col", "end_col"]
+    areas = formed.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("merge_no", *shape))).alias("areas"))
+    alike = lambda a, b: (a["start_row"] == b["start_row"]) & (a["end_row"] == b["end_row"]) & (a["start_col"] == b["start_col"]) & (a["end_col"] == b["end_col"])
+    single = lambda a: (a["start_row"] == a["end_row"]) & (a["start_col"] == a["end_col"])
+    areas = areas.select("table_id", F.filter("areas", lambda a, i: ~single(a) & ~F.exists(F.slice("areas", 1, i), lambda b: alike(a, b))).alias("areas"))
+    # What a cell's text says, not the text itself, goes to its table.
+    state = cells.select(*CELL, F.when(F.col("text").isNotNull(), is_blank("text")).alias("blank"))
+    d = state.join(areas.filter(F.size("areas") > 0).hint("shuffle_hash"), "table_id", "right")
+    d = d.select("table_id", "areas", "row", "col", "blank", F.explode_outer(F.filter("areas", _covers)).alias("m"))
+    anchor = (F.col("m.start_row") == F.col("row")) & (F.col("m.start_col") == F.col("col"))
+    d = d.select("table_id", "areas", "row", "col", F.col("m.merge_no").alias("merge_no"), F.col("blank").isNotNull().cast("bigint").alias("held"),
+                 (F.col("blank").isNull() | ~anchor & ~F.col("blank")).alias("bad"))
+    # Merges are few a table and their cells many, so areas ride along only as far as the first of the two sums.
+    d = d.groupBy("table_id", "merge_no", "row", "col").agg(F.first("areas").alias("areas"), F.max("held").alias("held"), F.bool_or("bad").alias("bad"))
+    d = d.groupBy("table_id", "merge_no").agg(F.first("areas").alias("areas"), F.sum("held").alias("held"), F.bool_or("bad").alias("bad"))
+    whole = F.filter(F.collect_list(F.when(~F.col("bad"), F.struct("merge_no", "held"))), lambda x: x["merge_no"].isNotNull())
+    d = d.groupBy("table_id").agg(F.first("areas").alias("areas"), whole.alias("whole"))
+    size = lambda a: (a["end_row"] - a["start_row"] + 1).cast("double") * (a["end_col"] - a["start_col"] + 1)
+    d = d.withColumn("open", F.filter("areas", lambda a: F.exists("whole", lambda w: (w["merge_no"] == a["merge_no"]) & (w["held"] >= size(a)))))
+    meet = lambda a, b: ((a["start_row"] <= b["end_row"]) & (b["start_row"] <= a["end_row"]) & (a["start_col"] <= b["end_col"]) & (b["start_col"] <= a["end_col"]))
+    none = F.filter("open", lambda a: F.lit(False))
+    applied = F.aggregate("open", none, lambda acc, a: F.when(F.exists(acc, lambda b: meet(a, b)), acc).otherwise(F.concat(acc, F.array(a))))
+    d = d.withColumn("applied", F.transform(applied, lambda a: a["merge_no"]))
+    outcome = lambda a: F.when(F.array_contains("applied", a["merge_no"]), "applied").otherwise("skipped")
+    return d.select("table_id", F.inline(F.transform("areas", lambda a: F.struct(a["merge_no"].alias("merge_no"), outcome(a).alias("outcome")))))
+
+
+def _planned_in_rounds(cells: DataFrame, formed: DataFrame) -> DataFrame:
+    """The same for tables of many merges, by stretches of rows. Conflicts resolve in rounds: a merge that is first in all
+    its cells is applied, whatever touches it is skipped, until none is open."""
+    shape = ["start_row", "end_row", "start_col", "end_col"]
+    unique = formed.groupBy("table_id", *shape).agg(F.min("merge_no").alias("merge_no"))
     unique = unique.filter("start_row <> end_row OR start_col <> end_col")
     merge = ["table_id", "merge_no"]
     covered = stage(covered_cells(cells.select(*CELL, "text"), unique).select(*merge, "row", "col", "anchor", "text"))
@@ -357,7 +401,7 @@ def plan_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
         "bad", F.coalesce("bad", F.lit(True)) | (F.col("held") < F.col("area")))
     rejected = state.filter("bad").select(*merge)
     open_cells = stage(covered.join(state.filter("NOT bad").select(*merge), merge, "left_semi").select(*merge, "row", "col").distinct())
-    skipped = malformed.unionByName(rejected)
+    skipped = rejected
     applied = None
     while True:
         first = open_cells.groupBy(*CELL).agg(F.min("merge_no").alias("first"))

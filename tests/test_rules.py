@@ -237,3 +237,19 @@ def test_results_do_not_depend_on_partitions(spark, sf):
         seen.append([sorted(map(str, registry.queries()[q](spark, sf).collect())) for q in ("r8_source_status", "t6_reconcile_grand_totals", "l2_cluster_lines")])
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1]
+
+
+def test_few_merges_take_no_stretches_and_agree_with_rounds(spark, monkeypatch):
+    """Tables of few merges are planned in one fold; the rounds, kept for tables of many, give the same."""
+    rng = random.Random(6)
+    cells = spark.createDataFrame([(t, r, c, rng.choice(["", "", "", " ", "x", None]) if (r, c) != (9, 9) else "") for t in range(12) for r in range(7) for c in range(6) if rng.random() < 0.99],
+                                  "table_id long, row int, col int, text string")
+    area = lambda: (a := rng.randrange(6), a + rng.randrange(2), b := rng.randrange(5), b + rng.randrange(3))
+    merges = spark.createDataFrame([(t, n, *area()) for t in range(13) for n in range(12)], "table_id long, merge_no int, start_row int, end_row int, start_col int, end_col int")
+    planned = lambda: sorted((x.table_id, x.merge_no, x.outcome) for x in tables.plan_merges(cells, merges).collect())
+    with monkeypatch.context() as m:
+        m.setattr(tables, "FEW_MERGES", 0)
+        rounds = planned()
+    assert len({x[2] for x in rounds}) == 2 and {x[0] for x in rounds} == set(range(13))
+    monkeypatch.delattr(tables, "covered_cells")
+    assert planned() == rounds
