@@ -305,32 +305,42 @@ def stitch_continuations(fragments: DataFrame, *, layout: bool = False) -> DataF
     if layout:
         d = ordered.with_previous(fragments, key, ["ordinal"], values, starts=lambda c, p: ~neighbours(c, p), island="stitched")
     else:
-        d = _chains(fragments, values, neighbours, near, low)
+        d = _chains(stage(fragments), values, neighbours, near, low)
     return ordered.running(
         d.drop("prev"), ["doc_id", "stitched"], ["ordinal"], {"row_offset": F.col("n_rows")}, inclusive=False
     )
 
 
 def _chains(fragments, values, neighbours, near, low) -> DataFrame:
-    """Chains against their first fragment. Each pass cuts every chain at its first failing link, so
-    passes are as many as the most cuts in one run of neighbours; each pass is one distributed job."""
-    cuts = fragments.select("doc_id", "ordinal").limit(0)
+    """Chains against their first fragment. Runs of neighbours are found once. Each round cuts every open chain at its first
+    failing link and goes on with what follows the cut, so rounds are as many as the most cuts in one run and only the
+    first reads all fragments."""
+    opens = lambda c, p: ~neighbours(c, p)
+    d = ordered.with_previous(fragments, ["doc_id"], ["ordinal"], [*values, "ordinal"], starts=opens, island="run")
+    opened = F.coalesce(opens(lambda n: F.col(n), lambda n: F.col("prev")[n]), F.lit(True))
+    d = stage(d.withColumns({"opened": opened, "before": F.col("prev.ordinal")}).drop("prev"))
+    link = ["doc_id", "run"]
+    first = F.struct("ordinal", "edges", "bottom").alias("f")
+    rows = d.select(*link, "ordinal", "before", "edges", "bottom", "opened")
+    cuts = None
     while True:
-        marked = fragments.join(cuts.withColumn("cut", F.lit(True)), ["doc_id", "ordinal"], "left")
-        d = ordered.with_previous(
-            marked, ["doc_id"], ["ordinal"], [*values, "ordinal", "cut"], island="stitched",
-            starts=lambda c, p: ~neighbours(c, p) | F.coalesce(c("cut"), F.lit(False)),
-        )
-        first = d.groupBy("doc_id", "stitched").agg(F.min_by(F.struct("ordinal", "edges", "bottom"), "ordinal").alias("f"))
-        j = d.join(first, ["doc_id", "stitched"])
-        inner = F.col("ordinal") != F.col("f.ordinal")
-        second = F.col("prev.ordinal") == F.col("f.ordinal")
-        fails = inner & (~near(F.col("f.edges"), F.col("edges")) | (second & (F.col("f.bottom") < low)))
-        new = j.filter(fails).groupBy("doc_id", "stitched").agg(F.min("ordinal").alias("ordinal")).select("doc_id", "ordinal")
-        new = stage(new)
+        j = rows.filter("NOT opened").join(rows.filter("opened").select(*link, first), link)
+        second = F.col("before") == F.col("f.ordinal")
+        fails = ~near(F.col("f.edges"), F.col("edges")) | (second & (F.col("f.bottom") < low))
+        new = stage(j.filter(fails).groupBy(*link).agg(F.min("ordinal").alias("cut")))
         if new.isEmpty():
-            return d.drop("cut")
-        cuts = cuts.unionByName(new)
+            break
+        cuts = new if cuts is None else cuts.unionByName(new)
+        rest = rows.join(new, link).filter(F.col("ordinal") >= F.col("cut"))
+        rows = stage(rest.withColumn("opened", F.col("ordinal") == F.col("cut")).drop("cut"))
+    if cuts is None:
+        return d.withColumnRenamed("run", "stitched").drop("opened", "before")
+    # A mark before the row of each cut: the marks so far count the chains that cuts have added.
+    d = d.drop("opened", "before").withColumn("mark", F.lit(0).cast("bigint"))
+    marks = cuts.select("doc_id", F.col("cut").alias("ordinal"), F.lit(1).cast("bigint").alias("mark"))
+    d = d.unionByName(marks, allowMissingColumns=True).withColumn("place", -F.col("mark"))
+    d = ordered.running(d, ["doc_id"], ["ordinal", "place"], {"added": F.col("mark")}).filter("mark = 0")
+    return d.withColumn("stitched", F.col("run") + F.col("added")).drop("run", "added", "mark", "place")
 
 
 def plan_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:

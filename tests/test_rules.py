@@ -253,3 +253,23 @@ def test_few_merges_take_no_stretches_and_agree_with_rounds(spark, monkeypatch):
     assert len({x[2] for x in rounds}) == 2 and {x[0] for x in rounds} == set(range(13))
     monkeypatch.delattr(tables, "covered_cells")
     assert planned() == rounds
+
+
+def test_ruled_chains_find_neighbours_once(spark, monkeypatch):
+    """Chains of several cuts against a walk through each document; fragments are compared with their neighbours once."""
+    rng, rows, want = random.Random(9), [], {}
+    for doc in range(4):
+        first = last = None
+        number = offset = reach = 0
+        for page in range(40):
+            left, top, bottom, key = rng.choice([0.1, 0.1, 0.11, 0.13]), rng.choice([0.05, 0.05, 0.05, 0.3]), rng.choice([0.95, 0.95, 0.95, 0.6]), page * 5
+            rows.append((doc, page, page, 3, 5, key, key + 4, top, bottom, [left, left + 0.3]))
+            on = first is not None and top <= 0.1 and reach >= 0.9 and abs(first - left) <= 0.02
+            number, offset, reach, first = (number, offset + 5, max(reach, bottom), first) if on else (number + 1, 0, bottom, left)
+            want[doc, page] = (number, offset)
+    calls, find = [], tables.ordered.with_previous
+    monkeypatch.setattr(tables.ordered, "with_previous", lambda *a, **k: calls.append(1) or find(*a, **k))
+    d = spark.createDataFrame(rows, "doc_id long, ordinal long, page long, n_cols int, n_rows long, first_key long, last_key long, top double, bottom double, edges array<double>")
+    got = tables.stitch_continuations(d)
+    assert {(r.doc_id, r.page): (r.stitched, r.row_offset) for r in got.collect()} == want
+    assert len(calls) == 1 and set(got.columns) == {*d.columns, "stitched", "row_offset"}
