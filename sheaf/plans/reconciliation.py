@@ -23,7 +23,7 @@ SETUP = r.Setup(
 
 
 class Reconciliation:
-    """The stages of one run, built on demand. Spans and hits feed several stages, so they are staged."""
+    """The stages of one run, built on demand. What feeds several stages (spans, hits, assignments, fields, verdicts) is staged."""
 
     def __init__(self, records: DataFrame, items: DataFrame, pages: DataFrame, setup: r.Setup):
         self.records, self.items, self.page_list, self.setup = records, items, pages, setup
@@ -42,11 +42,11 @@ class Reconciliation:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return r.assign_pages(self.page_list, self.hits, self.anchors, self.setup)
+        return stage(r.assign_pages(self.page_list, self.hits, self.anchors, self.setup))
 
     @cached_property
     def fields(self) -> DataFrame:
-        return r.compare_fields(self.assigned, self.records, self.anchors, self.setup)
+        return stage(r.compare_fields(self.assigned, self.records, self.anchors, self.setup))
 
     @cached_property
     def pages(self) -> DataFrame:
