@@ -40,6 +40,23 @@ def test_record_keys_of_seven_digits(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.execute(ingest.ORACLES["s1_record_violations"]).fetchall())
 
 
+def test_record_files_of_a_table_with_empty_splits(spark, tmp_path):
+    """One row group read in many splits: the first ones hold no customer, and write no file."""
+    rows = spark.range(1, 3001).select(F.col("id").alias("c_custkey"), F.sha2(F.col("id").cast("string"), 256).alias("c_name"), F.lit(1.0).alias("c_acctbal"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 30000)
+    try:
+        first = spark.read.parquet(f"{tmp_path}/customer.parquet").rdd.glom().map(len).collect()[0]
+        got = ingest.QUERIES["s1_record_violations"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert first == 0
+    assert sorted(map(tuple, got)) == sorted(con.execute(ingest.ORACLES["s1_record_violations"]).fetchall())
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
