@@ -144,6 +144,16 @@ def test_bands_follow_their_first_rule_or_median(spark):
         assert got == want
 
 
+def test_narrow_bands_are_not_walked(spark):
+    """Rules close to their first are one band without a fold, and no fold lists a page's positions again at each step."""
+    rows = [(0, 0, x, 10.0 * i, x, 10.0 * i + 10) for i in range(600) for x in (20.0, 20.75, 90.0)]
+    rules = spark.createDataFrame(rows, "doc_id int, page int, x0 double, y0 double, x1 double, y1 double")
+    for mode, first in (("word", 20.0), ("vector", 20.75)):
+        df = layout.merge_intervals(rules, False, mode)
+        assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == [(0, 0, 1, first, 0.0, 6000.0), (0, 0, 2, 90.0, 0.0, 6000.0)]
+
+
 def test_words_meet_their_page_unsorted(spark, sf):
     """Whatever the size: one shuffle of words, one of pages, no sort; grid cells are not joined with their components again."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
