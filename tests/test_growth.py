@@ -154,6 +154,20 @@ def test_narrow_bands_are_not_walked(spark):
         assert sorted(map(tuple, df.collect())) == [(0, 0, 1, first, 0.0, 6000.0), (0, 0, 2, 90.0, 0.0, 6000.0)]
 
 
+def test_lines_and_runs_take_one_shuffle_and_no_python(spark):
+    """Lines, segments and runs of a page follow in its one shuffle; only pages with wide lines or runs are walked."""
+    rows = [(1, p, 10 * r + c, "w", 100.0 * c, 20.0 * r + p * c, 5.0, 9.0) for p in (0, 2) for r in range(6) for c in range(3)]
+    spans = spark.createDataFrame(rows, "doc_id int, page int, span_no int, text string, x double, y double, width double, size double")
+    lined = layout.cluster_lines(spans)
+    words = lined.withColumns({"x0": F.col("x"), "x1": F.col("x") + F.col("width")})
+    runs = layout.detect_tables(layout.segmented(layout.segment_lines(words)))
+    for df in (lined, runs):
+        assert _exchanges(df) == 1 and "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.page, r.span_no): r.line_no for r in lined.collect()} == {
+        (p, 10 * r + c): r + 1 if p == 0 else 2 * r + 1 + (c == 2) for p in (0, 2) for r in range(6) for c in range(3)}
+    assert {(r.page, r.run_no, r.line_no, r.columns) for r in runs.collect()} == {(0, 1, r + 1, 3) for r in range(6)}
+
+
 def test_words_meet_their_page_unsorted(spark, sf):
     """Whatever the size: one shuffle of words, one of pages, no sort; grid cells are not joined with their components again."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
